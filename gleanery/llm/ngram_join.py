@@ -7,8 +7,8 @@ Plan of ``link_documents``:
 2. A set of n shingles that reaches a Jaccard of 0.8 with another shares at least T = ceil(0.8 n) of its n shingles,
    so the two share one of their n - T + 1 rarest. Rarity is (sketch count, hash): any order that is the same for all
    documents keeps this exact; the sketch only keeps frequent shingles out. Each class posts its rarest shingles.
-3. Sorted by shingle, each posting list streams through a task in constant memory. The list's smallest class leads it;
-   (leader, class) pairs go on. Lists with the same leader form one block, so copies meet once and not once a shingle.
+3. Sorted by shingle and size, each posting list streams through a task in constant memory, and is cut where sizes are
+   too far apart for a link. The list's first class leads it; (leader, class) pairs go on. Lists with the same leader form one block, so copies meet once and not once a shingle.
 4. Blocks are searched with DivideSkip (Li, Lu, Lu 2008) over inverted lists of whole sets: the longest lists are left
    out of the heap merge and binary-probed for what the merge of the short ones finds; overlaps are exact. A class that
    was linked leaves the lists, so a group of copies takes about one query and not all its pairs.
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import zlib
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
@@ -32,10 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import connected_components, scratch_dir, table, whole_groups, written
-from gleanery.llm.shingles import WordHashes, mixed, set_name, shingle_set
+from gleanery.llm.shingles import mixed, set_name, shingle_sets
 
 #: Sketch counters travel in rows of this many.
-_CHUNK = 4096
+_CHUNK = 1 << 16
 
 
 def required(n: int, percent: int = 80) -> int:
@@ -48,23 +49,27 @@ def _bucket(shingles: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch], width: int, bits: int) -> Iterator[pa.RecordBatch]:
-    hashes, counts = WordHashes(), np.zeros(1 << bits, dtype=np.int64)
+    counts = np.zeros(1 << bits, dtype=np.uint32)
     names = ["doc_id", "n_shingles", "sig", "chunk", "counts"]
     for batch in batches:
-        ns, sigs = [], []
-        for text in batch.column("text"):
-            s = shingle_set(text.as_py(), hashes, width)
+        ns, sigs, waiting, held = [], [], [], 0
+        for s in shingle_sets(batch.column("text"), width):
             ns.append(len(s))
             sigs.append(set_name(s) if len(s) else None)
-            counts += np.bincount(_bucket(s, bits), minlength=1 << bits) if len(s) > 1 << (bits - 3) else 0
-            if len(s) <= 1 << (bits - 3):
-                np.add.at(counts, _bucket(s, bits), 1)
+            waiting.append(_bucket(s, bits))
+            held += len(s)
+            if held > _CHUNK:
+                np.add.at(counts, np.concatenate(waiting), 1)
+                waiting, held = [], 0
+        if waiting:
+            np.add.at(counts, np.concatenate(waiting), 1)
         none = pa.nulls(len(ns))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(sigs, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names)
     if counts.any():
-        rows = counts.astype(np.uint32).reshape(-1, min(_CHUNK, len(counts)))
+        rows = counts.reshape(-1, min(_CHUNK, len(counts)))
         none = pa.nulls(len(rows)).cast(pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(len(rows)), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names)
+        packed = [zlib.compress(np.ascontiguousarray(r.view(np.uint8).reshape(-1, 4).T).tobytes(), 1) for r in rows]
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(len(rows)), pa.int32()), pa.array(packed, pa.binary())], names)
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +77,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, b in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            x = np.frombuffer(b, dtype=np.uint32).astype(np.int64)
+            x = np.ascontiguousarray(np.frombuffer(zlib.decompress(b), dtype=np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
             sums[k] = sums[k] + x if k in sums else x
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
 
@@ -90,12 +95,10 @@ def rarest(shingles: np.ndarray, counts: np.ndarray, bits: int, percent: int) ->
 
 
 def _post(batches: Iterator[pa.RecordBatch], width: int, bits: int, percent: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
     for batch in batches:
         seen, tokens, sigs, ns = set(), [], [], []
         held = 0
-        for text in batch.column("text"):
-            s = shingle_set(text.as_py(), hashes, width)
+        for s in shingle_sets(batch.column("text"), width):
             if not len(s) or (name := set_name(s)) in seen:
                 continue
             seen.add(name)
@@ -115,36 +118,40 @@ def _postings(*columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["token", "sig", "n"])
 
 
-def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From postings sorted by (token, sig): (leader, sig, n) for the members of each list with two or more classes."""
-    token = sig = leader = leader_n = None
-    fresh = False  # the last class seen leads its list and has not been given yet
+def _led(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """From postings sorted by (token, n, sig): (leader, sig, n) for the members of lists with two or more classes.
+
+    A list ends where the next set is too large for any set before it. What is kept between batches is one row.
+    """
+    last = None  # token, sig, n, leader, leader's n, whether it is the first of its list
     for batch in batches:
         t, s, n = (batch.column(k).to_numpy() for k in ("token", "sig", "n"))
-        if not len(t):
-            continue
+        n = n.astype(np.int64)
+        if last is not None:
+            t, s, n = np.concatenate([[last[0]], t]), np.concatenate([[last[1]], s]), np.concatenate([[last[2]], n])
         new = np.ones(len(t), dtype=bool)
         new[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
-        new[0] = token is None or t[0] != token or s[0] != sig
-        token, sig, t, s, n = t[-1], s[-1], t[new], s[new], n[new]
+        t, s, n = t[new], s[new], n[new]
         if not len(t):
             continue
         first = np.ones(len(t), dtype=bool)
-        first[1:] = t[1:] != t[:-1]
-        first[0] = new_list = leader is None or t[0] != _led_token
+        first[1:] = (t[1:] != t[:-1]) | (percent * n[1:] > 100 * n[:-1])
+        if last is not None:
+            first[0] = last[5]
         at = np.maximum.accumulate(np.where(first, np.arange(len(t)), -1))
-        lead = np.where(at >= 0, s[at], 0 if leader is None else leader)
-        lead_n = np.where(at >= 0, n[at], 0 if leader is None else leader_n)
+        lead, lead_n = (np.where(at >= 0, x[at], 0 if last is None else last[k]) for x, k in ((s, 3), (n, 4)))
         member = ~first
-        second = member & np.concatenate([[not new_list and fresh], first[:-1]])
-        out = {"leader": np.concatenate([lead[member], lead[second]]), "sig": np.concatenate([s[member], lead[second]]), "n": np.concatenate([n[member], lead_n[second]])}
-        leader, leader_n, fresh, _led_token = lead[-1], lead_n[-1], bool(first[-1]), t[-1]
-        if len(out["sig"]):
-            order = np.lexsort((out["sig"], out["leader"]))
-            out = {k: v[order] for k, v in out.items()}
+        if last is not None:
+            member[0] = False  # told with the batch before
+        second = np.concatenate([[False], member[1:] & first[:-1]])
+        last = t[-1], s[-1], n[-1], lead[-1], lead_n[-1], bool(first[-1])
+        led = np.concatenate([lead[member], lead[second]]), np.concatenate([s[member], lead[second]]), np.concatenate([n[member], lead_n[second]])
+        if len(led[0]):
+            order = np.lexsort((led[1], led[0]))
+            leader, sig, size = (x[order] for x in led)
             keep = np.ones(len(order), dtype=bool)
-            keep[1:] = (out["leader"][1:] != out["leader"][:-1]) | (out["sig"][1:] != out["sig"][:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(v[keep].astype(np.int32) if k == "n" else v[keep]) for k, v in out.items()], list(out))
+            keep[1:] = (leader[1:] != leader[:-1]) | (sig[1:] != sig[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(leader[keep]), pa.array(sig[keep]), pa.array(size[keep].astype(np.int32))], ["leader", "sig", "n"])
 
 
 def merge_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
@@ -255,32 +262,43 @@ def search_block(sets: list[np.ndarray], percent: int = 80) -> list[tuple[int, i
 
 
 def _search(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
     for t, starts in whole_groups(batches, "block"):
-        ids, texts, want = t.column("doc_id").to_pylist(), t.column("text"), t.column("sig").to_pylist()
+        ids, want = t.column("doc_id").to_pylist(), t.column("sig").to_pylist()
+        found = shingle_sets(t.column("text"), width)
         a, b = [], []
         for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-            sets: dict[int, tuple[int, np.ndarray]] = {}
-            for i in range(lo, hi):
-                if want[i] not in sets:
-                    s = shingle_set(texts[i].as_py(), hashes, width)
-                    if len(s) and set_name(s) == want[i]:  # a doc_id that comes twice brings other texts too
-                        sets[want[i]] = ids[i], s
-            if len(sets) > 1:
-                own = list(sets.values())
-                for x, y in search_block([s for _, s in own], percent):
-                    a.append(own[x][0])
-                    b.append(own[y][0])
+            own: dict[int, tuple[int, np.ndarray]] = {}
+            for i, s in zip(range(lo, hi), found):  # noqa: B905
+                if want[i] not in own and len(s) and set_name(s) == want[i]:  # a doc_id that comes twice brings other texts too
+                    own[want[i]] = ids[i], s
+            ordered = sorted(own.values(), key=lambda x: len(x[1]))
+            for part in chains(ordered, percent):
+                for x, y in search_block([s for _, s in part], percent):
+                    a.append(part[x][0])
+                    b.append(part[y][0])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def chains(ordered: list[tuple[int, np.ndarray]], percent: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Parts of two or more sets, cut where the next set is too large for any set before it."""
+    part: list[tuple[int, np.ndarray]] = []
+    for x in ordered:
+        if part and percent * len(x[1]) > 100 * len(part[-1][1]):
+            if len(part) > 1:
+                yield part
+            part = []
+        part.append(x)
+    if len(part) > 1:
+        yield part
+
+
 def link_documents(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     width: int = 5,
     percent: int = 80,
-    sketch_bits: int = 18,
+    sketch_bits: int = 22,
     block_docs: int = 2048,
     block_shingles: int = 2_000_000,
 ) -> DataFrame:
@@ -305,10 +323,10 @@ def link_documents(
     rows = signed.where("chunk is null").select("doc_id", "n_shingles", "sig")
     classes = rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
 
-    shared = spark.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
+    shared = spark.sparkContext.broadcast((np.log2(counts + 1.0) * 1024).astype(np.uint16))
     post: Callable = lambda it: _post(it, width, sketch_bits, percent, shared.value)
     members = (
-        own.where("doc_id is not null").select("text").mapInArrow(post, "token long, sig long, n int").repartition("token").sortWithinPartitions("token", "sig").mapInArrow(_led, "leader long, sig long, n int")
+        own.where("doc_id is not null").select("text").mapInArrow(post, "token long, sig long, n int").repartition("token").sortWithinPartitions("token", "n", "sig").mapInArrow(lambda it: _led(it, percent), "leader long, sig long, n int")
     )
     members = written(members.groupBy("leader", "sig").agg(F.max("n").alias("n")), "members")
     parts = members.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("parts"))

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from gleanery.plans import cache_queries, fusion_queries, image_queries, page_queries, text_queries  # noqa: F401
+from gleanery.plans.base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]

@@ -41,7 +41,7 @@ class _Lines:
     """Reads lines and lengths from a stream of bytes and counts what it passes over."""
 
     def __init__(self, stream):
-        self.stream = io.BufferedReader(stream, _STEP) if not isinstance(stream, (io.BufferedIOBase, gzip.GzipFile)) else stream
+        self.stream = stream if isinstance(stream, (gzip.GzipFile, io.BytesIO)) else io.BufferedReader(stream, _STEP)
         self.passed = 0
 
     def line(self) -> bytes:
@@ -164,7 +164,9 @@ class _Reader(DataSourceReader):
     def _wanted(self, row: dict) -> bool:
         return all(row[c] is not None and _TESTS[kind](row[c], x) for kind, c, x in self.pushed)
 
-    def read(self, partition: _Archive) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Archive | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # what Spark asks for where there is no archive
+            return
         fs, at = _file_system(partition.path)
         arrow = pa.schema([(f.name, _ARROW[f.dataType.simpleString()]) for f in self.schema])
         with fs.open_input_stream(at, compression=None) as raw:

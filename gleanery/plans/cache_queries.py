@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.operators import cache, lookups
 from gleanery.plans.base import query
+from gleanery.sources.scratch import new_path
 from gleanery.sources.tables import table
 from gleanery.streaming import cache_stream
 
@@ -97,8 +95,7 @@ def json_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_LATEST)
 def cache_stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same latest rows, kept by a stream over the events."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='gleanery-')}"
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     stream = stream.select("user_id", "event_type", "event_id", "value", "ts")
-    return cache_stream.keep_latest(stream, f"{base}/stream-{uuid.uuid4().hex}", ["user_id", "event_type"], ["ts", "event_id"], spark).drop("ts")
+    return cache_stream.keep_latest(stream, new_path(spark, "stream"), ["user_id", "event_type"], ["ts", "event_id"], spark).drop("ts")

@@ -25,7 +25,8 @@ _OUT = ["shard", "doc_id", "piece", "n_tokens", "source", "bin", "place"]
 
 def token_count(text: Column) -> Column:
     """Words of a text between ASCII white space; 0 without one. A stand-in for an encoded length."""
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"[\x20\x09-\x0D]+")))
 
 
 def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity: int, same_source: int) -> list[int]:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import table, written
+from gleanery.llm.packing import token_count
 
 OTHER = "other"
 #: The query's targets: the hot source is held to a quarter of all tokens, the other nineteen share alike.
@@ -22,14 +23,15 @@ TARGETS = {
     "lang": {"en": 0.62, "de": 0.14, "fr": 0.14, "es": 0.09, OTHER: 0.01},
     "topic": {"legal": 0.02, "technical": 0.02, "contact": 0.03, "general": 0.93},
 }
-#: The query's topics: the first whose pattern a text holds; else general.
-TOPICS = (("legal", r"[Ll]icense|[Aa]ll rights reserved"), ("technical", r"password|token|AKIA"), ("contact", r"@[a-z]+\."))
+#: The query's topics: the first of which a text holds a word; else general.
+TOPICS = (("legal", ("License", "license", "All rights reserved", "all rights reserved")), ("technical", ("password", "token", "AKIA")), ("contact", ("@",)))
 
 
 def topic_of(text: Column) -> Column:
     out = F.lit("general")
-    for name, pattern in reversed(TOPICS):
-        out = F.when(text.rlike(pattern), name).otherwise(out)
+    for name, words in reversed(TOPICS):
+        for w in words:
+            out = F.when(F.contains(text, F.lit(w)), name).otherwise(out)
     return out
 
 
@@ -86,8 +88,12 @@ def mix(
     id_col: str = "doc_id",
     keep: float = 0.85,
     seed: str = "mix",
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """(doc, cell, tokens, weight, chance, kept) for each row: doc is a struct of the row's own columns.
+    """(doc, cell, tokens, weight, chance, kept) for each row: doc is a struct of the row's own columns, or those of carry.
+
+    With carry the narrow rows are written to the shared folder, so texts are read once; without it they are read for
+    the cells and again for the result.
 
     dims gives a column for each margin of targets; a null or a value without a target counts as "other". weight is the
     raked factor of the row's cell, chance min(1, c * weight) with c set so that about `keep` of all tokens stay, kept
@@ -95,7 +101,8 @@ def mix(
     same id share one draw; a null id is an id like another. An empty table gives an empty result.
     """
     named = {d: F.when(c.isin(list(targets[d])), c).otherwise(F.lit(OTHER)) for d, c in dims.items()}
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.struct(*(c.alias(d) for d, c in named.items())).alias("cell"), tokens.cast("long").alias("tokens"))
+    rows = docs.select(F.struct(*(carry or docs.columns)).alias("doc"), F.struct(*(c.alias(d) for d, c in named.items())).alias("cell"), tokens.cast("long").alias("tokens"))
+    rows = written(rows, "mix") if carry else rows
     cells = {tuple(r["cell"]): float(r["tokens"]) for r in rows.groupBy("cell").agg(F.sum("tokens").alias("tokens")).collect()}
     factors = rake(cells, targets)
     found = chances(factors, cells, keep)
@@ -108,17 +115,14 @@ def mix(
     return joined.select("doc", "cell", "tokens", F.coalesce("weight", F.lit(1.0)).alias("weight"), chance.alias("chance"), (draw(F.col(f"doc.{id_col}"), seed) < chance).alias("kept"))
 
 
-def mix_documents(docs: DataFrame) -> DataFrame:
-    from gleanery.llm.packing import token_count
-
+def mix_documents(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(F.coalesce(F.col("text"), F.lit("")))}
-    return mix(docs, TARGETS, dims, token_count(F.col("text")))
+    return mix(docs, TARGETS, dims, token_count(F.col("text")), carry=carry)
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its cell, tokens, calibrated chance and whether it is drawn."""
-    docs = table(spark, sf_dir, "documents")
-    out = mix_documents(docs)
+    out = mix_documents(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select("doc.doc_id", "cell.source", "cell.lang", "cell.topic", F.col("tokens").alias("n_tokens"), F.round("weight", 6).alias("weight"), F.round("chance", 6).alias("chance"), "kept")
 
 

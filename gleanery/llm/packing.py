@@ -93,7 +93,7 @@ def pack(
     source_col: str = "source",
     capacity: int = 2048,
     same_source: int = 4,
-    shard_pieces: int = 20_000,
+    shard_pieces: int = 5_000,
 ) -> DataFrame:
     """(doc_id, piece, n_tokens, source, bin_id, place): a row for each piece of each document.
 

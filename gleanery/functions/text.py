@@ -115,3 +115,8 @@ def texts_agree(a: Column, b: Column, least: float = 0.8) -> Column:
 def sanitised(c: Column) -> Column:
     """Missing values and the words for them as an empty text."""
     return F.when(c.isNull() | c.isin("null", "None"), "").otherwise(c)
+
+
+def search_clause(*clauses: Column) -> Column:
+    """Search clauses joined by OR, empty ones left out, for whoever fetches results."""
+    return F.concat_ws(" OR ", *(F.nullif(F.trim(F.regexp_replace(c, r"^(\s|OR\b)+|(\s|\bOR)+$", "")), F.lit("")) for c in clauses))

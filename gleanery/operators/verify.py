@@ -26,3 +26,8 @@ def code_evidence(page: Column, ean: Column, ground_truth: Column, least: float
 
 def trusted(host: Column, listed: Column, brand: Column) -> Column:
     return F.coalesce(listed, F.lit(False)) | text.brand_in_host(brand, host)
+
+
+def snippet_has_code(snippet: Column, ean: Column) -> Column:
+    """Whether a search result's text holds the code, with or without its leading zeros."""
+    return F.coalesce(F.contains(snippet, ean) | F.contains(snippet, barcode.key(ean)), F.lit(False))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gleanery.operators import candidates, export, fuse, images, lookups
@@ -74,3 +75,48 @@ def test_render_queue(spark):
     rows = [(1, 1, True, True, True), (1, 2, False, False, False), (1, 3, True, False, False), (1, 4, True, True, False)]
     pages = spark.createDataFrame(rows, "req_id int, pos int, verified boolean, trusted boolean, readable boolean")
     assert [r.pos for r in candidates.render_queue(pages, 2).orderBy("n").collect()] == [4, 3]
+
+
+def png(path, pixels):
+    import struct
+    import zlib
+
+    h, w = len(pixels), len(pixels[0])
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    raw = b"".join(b"\0" + bytes(v for p in row for v in (p, p, p)) for row in pixels)
+    path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+
+
+def test_perceptual_hash(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    picture = np.kron(rng.integers(20, 220, (8, 8)), np.ones((8, 8), dtype=int))
+    png(tmp_path / "a.png", picture.tolist())
+    png(tmp_path / "b.png", (picture + rng.integers(0, 9, (64, 64))).tolist())
+    png(tmp_path / "c.png", [[255 * ((x // 8 + y // 8) % 2) for x in range(64)] for y in range(64)])
+    read = spark.read.format("image").load(str(tmp_path))
+    h = {r.o.rsplit("/", 1)[1]: r.h for r in read.select(F.col("image.origin").alias("o"), images.perceptual_hash(F.col("image")).alias("h")).collect()}
+    bits = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1")
+    assert bits(h["a.png"], h["b.png"]) < 8 < bits(h["a.png"], h["c.png"])
+
+
+def test_bytes_and_kinds(spark, tmp_path):
+    from gleanery.functions import urls
+
+    (tmp_path / "p.html").write_bytes("é<b>x".encode())
+    (tmp_path / "big.bin").write_bytes(b"x" * 9000)
+    assert tables.pages_from_files(spark, str(tmp_path / "p.html")).first().html == "é<b>x"
+    assert tables.image_bytes(spark, str(tmp_path)).count() == 1
+    rows = spark.createDataFrame([("text/html", bytearray(b"\xff\xd8\xff\x00")), ("image/PNG; q=1", bytearray(b"")), (None, bytearray(b"GIF89a")), (None, bytearray(b"zz"))], "k string, d binary")
+    assert [r[0] for r in rows.select(urls.image_kind(F.col("k"), F.col("d"))).collect()] == ["image/jpeg", "image/png", "image/gif", None]
+    data = spark.createDataFrame([(1, 1, bytearray(b"a" * 130)), (1, 2, bytearray(b"a" * 140)), (1, 3, bytearray(b"b"))], "req_id int, pos int, d binary")
+    assert [r.pos for r in images.prefix_distinct(data, "d", ["req_id"], ["pos"]).orderBy("pos").collect()] == [1, 3]
+
+
+def test_code_evidence(spark):
+    from gleanery.functions import text
+    from gleanery.operators import verify
+
+    rows = spark.createDataFrame([("<title>Alpina oats</title> 4006381333931", "oats"), ("<title>else</title> 4006381333931", "oats"), ("ean 4006381333931", ""), ("x", "oats")], "p string, g string")
+    assert [r[0] for r in rows.select(verify.code_evidence(F.col("p"), F.lit("4006381333931"), F.col("g"))).collect()] == [True, False, True, False]
+    assert rows.select(verify.snippet_has_code(F.col("p"), F.lit("0004006381333931"))).first()[0] is True
+    assert rows.select(text.search_clause(F.lit("site:a OR "), F.lit(""), F.lit("site:b"))).first()[0] == "site:a OR site:b"

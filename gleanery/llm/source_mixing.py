@@ -35,7 +35,7 @@ def topic_of(text: Column) -> Column:
     return out
 
 
-def rake(cells: dict[tuple[str, ...], float], targets: Mapping[str, Mapping[str, float]], rounds: int = 200, within: float = 1e-9) -> dict[tuple[str, ...], float]:
+def rake(cells: dict[tuple[str, ...], float], targets: Mapping[str, Mapping[str, float]], rounds: int = 100, within: float = 1e-12) -> dict[tuple[str, ...], float]:
     """Each cell's factor: cell totals times factors have the targets' shares in every margin, as nearly as the cells allow.
 
     Every round scales the cells to one margin after the other. Target values without tokens are left out and the rest
@@ -132,4 +132,33 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_source_mixing": op3_source_mixing}
-ORACLE: dict[str, str] = {}
+
+
+def _oracle(rounds: int = 100, keep: float = 0.85) -> str:
+    """The same in SQL: raking as a recursion over margins by turns, and the scale c from the cells that reach a chance of 1."""
+    wants = ", ".join(f"('{d}', '{v}', {share!r}::double)" for d, shares in TARGETS.items() for v, share in shares.items())
+    named = {d: f"case when {d} in ({', '.join(repr(v) for v in shares)}) then {d} else '{OTHER}' end as {d}" for d, shares in TARGETS.items() if d != "topic"}
+    topic = " ".join(f"when {' or '.join(f"contains(text, '{w}')" for w in words)} then '{name}'" for name, words in TOPICS)
+    step = " ".join(f"when {i} then w * (select x.share from want x where x.dim = '{d}' and x.value = {d}) / sum(w) over (partition by {d})" for i, d in enumerate(TARGETS))
+    return rf"""
+with recursive d as materialized (select doc_id, source, lang, coalesce(text, '') as text from documents),
+r as materialized (select doc_id, {named["source"]}, {named["lang"]}, case {topic} else 'general' end as topic,
+  len(regexp_extract_all(text, '[^ 	-]+'))::bigint as n_tokens from d),
+cells as materialized (select source, lang, topic, sum(n_tokens)::double as tokens from r group by all having sum(n_tokens) > 0),
+target(dim, value, share) as (values {wants}),
+want as materialized (select dim, value, share / sum(share) over (partition by dim) as share from target t where exists (select 1 from cells c
+  where t.value = case t.dim when 'source' then c.source when 'lang' then c.lang else c.topic end)),
+fit as (select 0 as i, source, lang, topic, tokens / sum(tokens) over () as w from cells
+  union all select i + 1, source, lang, topic, case i % {len(TARGETS)} {step} end from fit where i < {rounds * len(TARGETS)}),
+f as materialized (select source, lang, topic, tokens, w / (tokens / sum(tokens) over ()) as weight from fit join cells using (source, lang, topic) where i = {rounds * len(TARGETS)}),
+k as (select *, sum(tokens) over () as total, row_number() over o as n, coalesce(sum(tokens) over (order by weight desc, source, lang, topic rows between unbounded preceding and 1 preceding), 0) as whole,
+  sum(tokens * weight) over (order by weight desc, source, lang, topic rows between current row and unbounded following) as rest from f window o as (order by weight desc, source, lang, topic)),
+c as (select arg_min(({keep} * total - whole) / rest, n) as c from k where ({keep} * total - whole) / rest * weight <= 1),
+p as (select source, lang, topic, weight, least(1.0, c * weight) as chance from f, c)
+select doc_id, r.source, r.lang, r.topic, n_tokens, round(coalesce(weight, 1), 6) as weight, round(coalesce(chance, 1), 6) as chance,
+  ('0x' || substr(sha256('mix:' || coalesce(doc_id::varchar, '')), 1, 12))::bigint / {float(16**12)!r} < coalesce(chance, 1) as kept
+from r left join p on p.source = r.source and p.lang = r.lang and p.topic = r.topic
+"""
+
+
+ORACLE = {"op3_source_mixing": _oracle()}

@@ -1,12 +1,14 @@
 """Toxicity by cumulative-link ordinal regression over sparse word features.
 
 P(grade >= k) = logistic(w.x - theta_k): the thresholds theta_1 < theta_2 < ... share the weights w, and a document's
-expected severity is the sum of these chances. Features are log(1 + count) of words chosen on the labelled sample.
+expected severity is the sum of these chances. Features are 1 + log(count) of words and of words' first five bytes,
+chosen on the labelled sample.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,11 +22,25 @@ from gleanery.llm.common import table
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 
 
+#: Words are also told by their first so many bytes, a feature of its own with a * behind.
+_STEM = 5
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """Words of a UTF-8 text: runs of letters and digits, A-Z lower-cased."""
     return _WORD.findall(text.lower()) if text else []
 
 
+def counts_of(text: bytes | None, words: dict[bytes, int]) -> dict[int, int]:
+    """How often each feature of `words` is in a text, by number; features that aren't there are left out."""
+    out: dict[int, int] = {}
+    for w, n in Counter(words_of(text)).items():
+        for i in (words.get(w), words.get(w[:_STEM] + b"*")):
+            if i is not None:
+                out[i] = out.get(i, 0) + n
+    return out
+
+
 @dataclass
 class CumulativeLink:
     """Weights that all thresholds share, and the rising thresholds."""
@@ -38,47 +54,78 @@ class CumulativeLink:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - np.asarray(eta)[:, None], -60, 60)))
 
     def eta(self, text: bytes | None) -> float:
-        counts: dict[int, int] = {}
-        get = self.words.get
-        for i in map(get, words_of(text)):
-            if i is not None:
-                counts[i] = counts.get(i, 0) + 1
-        return float(sum(self.weights[i] * np.log1p(n) for i, n in sorted(counts.items())))
+        return float(sum(self.weights[i] * (1 + np.log(n)) for i, n in sorted(counts_of(text, self.words).items())))
+
 
+def _dense(rows: list[tuple[np.ndarray, np.ndarray]], d: int) -> np.ndarray:
+    x = np.zeros((len(rows), d))
+    for i, (at, value) in enumerate(rows):
+        x[i, at] = value
+    return x
 
-def fit_cumulative_link(x: np.ndarray, grades: np.ndarray, n_grades: int, l2: float = 1e-3, steps: int = 800, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) by gradient descent with moments on the mean log-likelihood; grades are 0 .. n_grades - 1.
 
-    Thresholds are the first and the sum of positive gaps, so they stay in order. Without two grades in the rows the
-    weights are 0 and the thresholds at a chance of nothing or of everything.
+def fit_cumulative_link(rows: list[tuple[np.ndarray, np.ndarray]], d: int, grades: np.ndarray, n_grades: int, l2: float = 1e-5, steps: int = 60, chunk: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, thresholds) by Newton's method on the mean log-likelihood; grades are 0 .. n_grades - 1.
+
+    rows are (numbers of features, values). The log-likelihood is concave; a step is halved until it is larger and the
+    thresholds are in order. Rows are made dense `chunk` at a time. Without two grades in the rows the weights are 0 and
+    the thresholds at a chance of nothing or of everything.
     """
-    k = n_grades - 1
-    weights = np.zeros(x.shape[1])
-    if len(grades) == 0 or grades.min() == grades.max():
-        lowest = len(grades) == 0 or grades.min() == 0
-        return weights, np.arange(k) + (30.0 if lowest else -30.0 - k)
+    k, n = n_grades - 1, len(grades)
+    if n == 0 or grades.min() == grades.max():
+        lowest = n == 0 or grades.min() == 0
+        return np.zeros(d), np.arange(k) + (30.0 if lowest else -30.0 - k)
     share = np.clip([(grades >= g).mean() for g in range(1, n_grades)], 1e-3, 1 - 1e-3)
     theta = np.maximum.accumulate(-np.log(share / (1 - share)) + 1e-2 * np.arange(k))
-    p = np.concatenate([weights, theta[:1], np.log(np.maximum(np.diff(theta), 1e-2))])
-    m, v = np.zeros_like(p), np.zeros_like(p)
-    rows, n, d = np.arange(len(grades)), len(grades), x.shape[1]
-    for step in range(1, steps + 1):
-        w, theta = p[:d], np.cumsum(np.concatenate([p[d : d + 1], np.exp(p[d + 1 :])]))
-        cdf = 1 / (1 + np.exp(-np.clip(theta[None, :] - (x @ w)[:, None], -40, 40)))
-        cdf = np.concatenate([np.zeros((n, 1)), cdf, np.ones((n, 1))], axis=1)
-        slope = cdf * (1 - cdf)
-        chance = np.maximum(cdf[rows, grades + 1] - cdf[rows, grades], 1e-12)
-        up, down = slope[rows, grades + 1] / chance, slope[rows, grades] / chance
-        by_eta = (down - up) / n  # of the log-likelihood
-        by_theta = np.zeros(k + 2)
-        np.add.at(by_theta, grades + 1, up / n)
-        np.add.at(by_theta, grades, -down / n)
-        by_theta = by_theta[1:-1]
-        tail = np.cumsum(by_theta[::-1])[::-1]
-        grad = np.concatenate([x.T @ by_eta - l2 * w, tail[:1], tail[1:] * np.exp(p[d + 1 :])])
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        p = p + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return p[:d], np.cumsum(np.concatenate([p[d : d + 1], np.exp(p[d + 1 :])]))
+
+    def look(w: np.ndarray, theta: np.ndarray, full: bool) -> tuple[float, np.ndarray, np.ndarray]:
+        """The penalised mean log-likelihood, and in full its gradient and Hessian by (weights, thresholds)."""
+        value, grad, hess = -l2 / 2 * float(w @ w), np.concatenate([-l2 * w, np.zeros(k)]), np.zeros((d + k, d + k))
+        hess[range(d), range(d)] = -l2
+        edges = np.concatenate([[-np.inf], theta, [np.inf]])
+        for at in range(0, n, chunk):
+            x, y = _dense(rows[at : at + chunk], d), grades[at : at + chunk]
+            eta = x @ w
+            above, below = np.clip(edges[y + 1] - eta, -500, 500), np.clip(edges[y] - eta, -500, 500)
+            fa, fb = 1 / (1 + np.exp(-above)), 1 / (1 + np.exp(-below))
+            # F(a) - F(b) without cancellation
+            p = np.maximum(fa * (1 - fb) * -np.expm1(np.maximum(below - above, -700)), 1e-300)
+            value += float(np.log(p).sum()) / n
+            if not full:
+                continue
+            sa, sb = fa * (1 - fa), fb * (1 - fb)
+            u, v = sa / p, sb / p
+            aa, bb, ab = sa * (1 - 2 * fa) / p - u * u, -sb * (1 - 2 * fb) / p - v * v, u * v
+            place_a, place_b = np.zeros((len(y), k)), np.zeros((len(y), k))
+            some = y < k
+            place_a[some, y[some]] = 1
+            place_b[~(y == 0), y[y > 0] - 1] = 1
+            grad[:d] += x.T @ (v - u) / n
+            grad[d:] += (place_a.T @ u - place_b.T @ v) / n
+            hess[:d, :d] += x.T @ ((aa + 2 * ab + bb)[:, None] * x) / n
+            cross = -x.T @ (place_a * (aa + ab)[:, None] + place_b * (bb + ab)[:, None]) / n
+            hess[:d, d:] += cross
+            hess[d:, :d] += cross.T
+            both = place_a.T @ (ab[:, None] * place_b)
+            hess[d:, d:] += (place_a.T @ (aa[:, None] * place_a) + place_b.T @ (bb[:, None] * place_b) + both + both.T) / n
+        return value, grad, hess
+
+    w = np.zeros(d)
+    for _ in range(steps):
+        value, grad, hess = look(w, theta, True)
+        step = np.linalg.solve(hess - 1e-9 * np.eye(d + k), -grad)
+        size = 1.0
+        while size > 1e-4:
+            w_, theta_ = w + size * step[:d], theta + size * step[d:]
+            if (np.diff(theta_) > 1e-6).all() and look(w_, theta_, False)[0] > value:
+                break
+            size /= 2
+        else:
+            break
+        w, theta = w_, theta_
+        if np.abs(step).max() * size < 1e-6:
+            break
+    return w, theta
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,18 +133,19 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, toxic = [], []
         for text, y in zip(b.column("text"), b.column("toxic").to_pylist(), strict=True):
             own = set(words_of(text.as_py()))
+            own |= {w[:_STEM] + b"*" for w in own}
             words += own
             toxic += [y] * len(own)
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(toxic, pa.int32())], ["word", "toxic"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, features: int = 512, least_docs: int = 3, least_z: float = 4.0, id_col: str = "doc_id", text_col: str = "text") -> CumulativeLink:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, features: int = 1024, least_docs: int = 3, least_share: float = 0.001, least_z: float = 5.0, id_col: str = "doc_id", text_col: str = "text") -> CumulativeLink:
     """A model of grades 0, 1 and 2 from labels (doc_id, toxic 0 or 1) on at most sample_rows labelled documents.
 
-    The sample is the labelled ids with the smallest hashes. Words are features if at least least_docs sampled documents
-    hold them and their rates in toxic and other documents differ by least_z standard errors; the `features` strongest
-    stay. A toxic document's grade is 2 if its share of words that speak for toxicity is over the median of toxic
-    documents, else 1: the labels have no grades of their own. Null labels and ids are left out; of labels that
+    The sample is the labelled ids with the smallest hashes. Words are features if at least least_docs and the
+    share least_share of sampled documents hold them and their rates in toxic and other documents differ by least_z standard errors; the `features` strongest
+    stay. A toxic document's grade is 2 if it has more words that speak for toxicity than the median toxic document,
+    else 1: the labels have no grades of their own. Null labels and ids are left out; of labels that
     disagree on an id the larger counts. Without toxic documents every severity is near 0.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(id_col).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -110,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, features: i
     counts = rows.select("text", "toxic").mapInArrow(_distinct, "word binary, toxic int").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("c"))
     pooled = F.col("c") / max(n0 + n1, 1)
     z = (F.col("t") / max(n1, 1) - (F.col("c") - F.col("t")) / max(n0, 1)) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1 / max(n1, 1) + 1 / max(n0, 1)))
-    chosen = counts.where(F.col("c") >= least_docs).withColumn("z", z).where(F.abs("z") >= least_z).orderBy(F.desc(F.abs("z")), "word").limit(features).collect() if n1 and n0 else []
+    chosen = counts.where(F.col("c") >= max(least_docs, least_share * (n0 + n1))).withColumn("z", z).where(F.abs("z") >= least_z).orderBy(F.desc(F.abs("z")), "word").limit(features).collect() if n1 and n0 else []
     words = {bytes(r["word"]): i for i, r in enumerate(chosen)}
     for_toxic = np.array([r["z"] > 0 for r in chosen], dtype=bool)
 
@@ -118,25 +166,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, features: i
         for b in batches:
             out = []
             for text in b.column("text"):
-                own = words_of(text.as_py())
-                c: dict[int, int] = {}
-                for w in own:
-                    if (i := words.get(w)) is not None:
-                        c[i] = c.get(i, 0) + 1
-                out.append((sorted(c), [c[i] for i in sorted(c)], len(own)))
+                c = counts_of(text.as_py(), words)
+                out.append((sorted(c), [c[i] for i in sorted(c)], len(words_of(text.as_py()))))
             idx, cnt, size = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(idx, pa.list_(pa.int32())), pa.array(cnt, pa.list_(pa.int32())), pa.array(size, pa.int32())], ["toxic", "at", "n", "size"])
 
     got = rows.select("text", "toxic").mapInArrow(featurise, "toxic int, at array<int>, n array<int>, size int").collect()
     got.sort(key=lambda r: (r["toxic"], r["size"], r["at"], r["n"]))
-    x = np.zeros((len(got), len(words)))
-    for i, r in enumerate(got):
-        x[i, r["at"]] = np.log1p(r["n"])
-    density = np.array([sum(c for k, c in zip(r["at"], r["n"], strict=True) if for_toxic[k]) / max(r["size"], 1) for r in got])
+    x = [(np.array(r["at"], dtype=np.int64), 1 + np.log(r["n"])) for r in got]
+    speaking = np.array([sum(c for k, c in zip(r["at"], r["n"], strict=True) if for_toxic[k]) for r in got])
     toxic = np.array([r["toxic"] for r in got], dtype=np.int64)
-    middle = np.median(density[toxic == 1]) if (toxic == 1).any() else 0.0
-    grades = np.where(toxic == 1, 1 + (density > middle), 0).astype(np.int64)
-    weights, thresholds = fit_cumulative_link(x, grades, 3)
+    middle = np.median(speaking[toxic == 1]) if (toxic == 1).any() else 0.0
+    grades = np.where(toxic == 1, 1 + (speaking > middle), 0).astype(np.int64)
+    weights, thresholds = fit_cumulative_link(x, len(words), grades, 3)
     return CumulativeLink(words, weights, thresholds)
 
 

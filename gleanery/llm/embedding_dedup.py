@@ -240,4 +240,18 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_embedding_dedup": op10_embedding_dedup}
-ORACLE: dict[str, str] = {}
+#: All pairs of a label: what the search is held against.
+ORACLE = {
+    "op10_embedding_dedup": """
+with recursive v as materialized (select vec_id, label, embedding::double[] as e from embeddings),
+s as materialized (select *, list_inner_product(e, e) as norm from v where label is not null and e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+  and len(list_filter(e, lambda x: x <> 0)) > 0),
+l as materialized (select a.vec_id as a, b.vec_id as b from s a join s b on a.label = b.label and a.vec_id < b.vec_id and len(a.e) = len(b.e)
+  where list_inner_product(a.e, b.e) / sqrt(a.norm * b.norm) >= 0.98),
+e as materialized (select a, b from l union all select b, a from l),
+r as (select vec_id as node, vec_id as root from v union select e.b, r.root from r join e on e.a = r.node),
+c as (select node, min(root) as component_id from r group by node),
+n as (select a, count(*) as n_links from e group by a)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, component_id = vec_id as kept from v join c on c.node = v.vec_id left join n on n.a = v.vec_id
+"""
+}

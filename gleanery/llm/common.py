@@ -2,52 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_FALLBACK: dict[str, str] = {}
+from gleanery.sources.scratch import written
+
+__all__ = ["connected_components", "table", "whole_groups", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a temporary folder only where that is unset.
-
-    The path is removed through Spark's file system when the driver ends.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = _FALLBACK.setdefault(spark.sparkContext.applicationId, "") or f"file://{tempfile.mkdtemp(prefix='gleanery-')}"
-        _FALLBACK[spark.sparkContext.applicationId] = base
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the JVM may be gone by now
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: its lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = scratch_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the edge list; component is the smallest node reachable.
 
@@ -105,13 +75,3 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[
 
 def _starts(k: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
-
-
-def arrow_map(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """df through a function of one Arrow batch, run for each batch on the executors."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield make(batch)
-
-    return df.mapInArrow(run, schema)

@@ -29,11 +29,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import connected_components, scratch_dir, table, whole_groups, written
+from gleanery.llm.common import connected_components, table, whole_groups, written
 from gleanery.llm.shingles import mixed, set_name, shingle_sets
+from gleanery.sources.scratch import new_path
 
 #: Sketch counters travel in rows of this many.
 _CHUNK = 1 << 16
@@ -50,7 +51,7 @@ def _bucket(shingles: np.ndarray, bits: int) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch], width: int, bits: int) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << bits, dtype=np.uint32)
-    names = ["doc_id", "n_shingles", "sig", "chunk", "counts"]
+    names = ["doc_id", "text_hash", "n_shingles", "sig", "chunk", "counts"]
     for batch in batches:
         ns, sigs, waiting, held = [], [], [], 0
         for s in shingle_sets(batch.column("text"), width):
@@ -64,22 +65,22 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int, bits: int) -> Iterator[
         if waiting:
             np.add.at(counts, np.concatenate(waiting), 1)
         none = pa.nulls(len(ns))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(sigs, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(ns, pa.int64()), pa.array(sigs, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names)
     if counts.any():
         rows = counts.reshape(-1, min(_CHUNK, len(counts)))
         none = pa.nulls(len(rows)).cast(pa.int64())
         packed = [zlib.compress(np.ascontiguousarray(r.view(np.uint8).reshape(-1, 4).T).tobytes(), 1) for r in rows]
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(len(rows)), pa.int32()), pa.array(packed, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(len(rows)), pa.int32()), pa.array(packed, pa.binary())], names)
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the counters, a row for each chunk."""
+    """The logarithms of the counters' sums, a row for each chunk: two bytes a counter, whatever the input."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, b in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
             x = np.ascontiguousarray(np.frombuffer(zlib.decompress(b), dtype=np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
             sums[k] = sums[k] + x if k in sums else x
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(np.log2(x + 1.0) * 1024).astype(np.uint16).tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
 
 
 def rarest(shingles: np.ndarray, counts: np.ndarray, bits: int, percent: int) -> np.ndarray:
@@ -292,7 +293,7 @@ def chains(ordered: list[tuple[int, np.ndarray]], percent: int) -> Iterator[list
         yield part
 
 
-def link_documents(
+def _linked(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -302,28 +303,22 @@ def link_documents(
     block_docs: int = 2048,
     block_shingles: int = 2_000_000,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs.
-
-    Rows link when the Jaccard similarity of their shingle sets is at least percent / 100; component_id is the smallest
-    id reachable. A null, empty or blank text has no shingles and links with nothing, not even its like. A row with a
-    null id has a null component_id and links with nothing. Repeated rows each get a row; an id that comes with several
-    texts gets a row for each. Further columns are not read. An empty table gives an empty result.
-    """
+    """(doc_id, text_hash, n_shingles, component_id) for each row of docs."""
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    signed = own.mapInArrow(lambda it: _sign(it, width, sketch_bits), "doc_id long, n_shingles long, sig long, chunk int, counts binary")
-    path = scratch_dir(spark, "signatures")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
+    signed = own.mapInArrow(lambda it: _sign(it, width, sketch_bits), "doc_id long, text_hash long, n_shingles long, sig long, chunk int, counts binary")
+    path = new_path(spark, "signatures")
     signed.write.parquet(path)
     signed = spark.read.schema(signed.schema).parquet(path)
     sketch = signed.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(_add_up, "chunk int, counts binary")
-    counts = np.zeros(1 << sketch_bits, dtype=np.int64)  # what the driver gets has this size whatever the input
+    counts = np.zeros(1 << sketch_bits, dtype=np.uint16)  # what the driver gets has this size whatever the input
     for chunk, sums in sketch.collect():
-        x = np.frombuffer(sums, dtype=np.int64)
+        x = np.frombuffer(sums, dtype=np.uint16)
         counts[chunk * len(x) : (chunk + 1) * len(x)] = x
-    rows = signed.where("chunk is null").select("doc_id", "n_shingles", "sig")
+    rows = signed.where("chunk is null").select("doc_id", "text_hash", "n_shingles", "sig")
     classes = rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
 
-    shared = spark.sparkContext.broadcast((np.log2(counts + 1.0) * 1024).astype(np.uint16))
+    shared = spark.sparkContext.broadcast(counts)
     post: Callable = lambda it: _post(it, width, sketch_bits, percent, shared.value)
     members = (
         own.where("doc_id is not null").select("text").mapInArrow(post, "token long, sig long, n int").repartition("token").sortWithinPartitions("token", "n", "sig").mapInArrow(lambda it: _led(it, percent), "leader long, sig long, n int")
@@ -348,8 +343,19 @@ def link_documents(
     )
     found = connected_components(links)
     classes = classes.join(found, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
-    alone = rows.where("sig is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return rows.where("doc_id is not null").join(classes, "sig").select("doc_id", "n_shingles", "component_id").union(alone)
+    alone = rows.where("sig is null or doc_id is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
+    return rows.where("doc_id is not null").join(classes, "sig").select("doc_id", "text_hash", "n_shingles", "component_id").union(alone)
+
+
+def link_documents(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs.
+
+    Rows link when the Jaccard similarity of their shingle sets is at least percent / 100; component_id is the smallest
+    id reachable. A null, empty or blank text has no shingles and links with nothing, not even its like. A row with a
+    null id has a null component_id and links with nothing. Repeated rows each get a row; an id that comes with several
+    texts gets a row for each. Further columns are not read. An empty table gives an empty result.
+    """
+    return _linked(docs, **options).drop("text_hash")
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,10 +364,17 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the one with the smallest doc_id; documents without an id stay."""
-    kept = link_documents(docs).where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns)
-    return first.union(docs.where("doc_id is null"))
+    """One document of each component stays, the one with the smallest doc_id; documents without an id stay.
+
+    Of rows that repeat both id and text one stays, the first by its other columns.
+    """
+    kept = _linked(docs).where("doc_id = component_id").select("doc_id", "text_hash").distinct()
+    hashed = docs.where("doc_id is not null").withColumn("text_hash_", F.xxhash64("text"))
+    kept = kept.select(F.col("doc_id").alias("doc_id_"), F.col("text_hash").alias("kept_hash_"))
+    same = (F.col("doc_id") == F.col("doc_id_")) & (F.col("text_hash_") == F.col("kept_hash_"))
+    order = Window.partitionBy("doc_id", "text_hash_").orderBy(*(F.col(c).cast("string") for c in docs.columns if c not in ("doc_id", "text")))
+    first = hashed.join(kept, same, "left_semi").withColumn("repeat_", F.row_number().over(order)).where("repeat_ = 1")
+    return first.select(*docs.columns).union(docs.where("doc_id is null"))
 
 
 QUERIES = {"op5_ngram_join": op5_ngram_join}

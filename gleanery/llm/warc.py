@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from gleanery.llm.common import scratch_dir, table
+from gleanery.llm.common import table
+from gleanery.sources.scratch import new_path
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, payload_length long, headers map<string,string>, payload binary"
 #: Columns that a record's header decides, with the header's name.
@@ -310,7 +311,7 @@ def deduplicated(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through archives and back: responses by their payloads, revisits by their headers alone."""
-    path = scratch_dir(spark, "warc")
+    path = new_path(spark, "warc")
     write_warc(deduplicated(table(spark, sf_dir, "pages")), path)
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
     whole = lambda c: F.when(number(c) != "", number(c).cast("long"))

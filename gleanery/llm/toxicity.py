@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import table
+from gleanery.llm.common import table, written
 
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 
@@ -75,6 +75,9 @@ def fit_cumulative_link(rows: list[tuple[np.ndarray, np.ndarray]], d: int, grade
     if n == 0 or grades.min() == grades.max():
         lowest = n == 0 or grades.min() == 0
         return np.zeros(d), np.arange(k) + (30.0 if lowest else -30.0 - k)
+    order = sorted(range(n), key=lambda i: len(rows[i][0]) == 0)  # rows without features come last and need no products
+    rows, grades = [rows[i] for i in order], grades[order]
+    full_rows = sum(len(at) > 0 for at, _ in rows)
     share = np.clip([(grades >= g).mean() for g in range(1, n_grades)], 1e-3, 1 - 1e-3)
     theta = np.maximum.accumulate(-np.log(share / (1 - share)) + 1e-2 * np.arange(k))
 
@@ -84,8 +87,9 @@ def fit_cumulative_link(rows: list[tuple[np.ndarray, np.ndarray]], d: int, grade
         hess[range(d), range(d)] = -l2
         edges = np.concatenate([[-np.inf], theta, [np.inf]])
         for at in range(0, n, chunk):
-            x, y = _dense(rows[at : at + chunk], d), grades[at : at + chunk]
-            eta = x @ w
+            y = grades[at : at + chunk]
+            x = _dense(rows[at : at + chunk], d if at < full_rows else 0)
+            eta = x @ w if at < full_rows else np.zeros(len(y))
             above, below = np.clip(edges[y + 1] - eta, -500, 500), np.clip(edges[y] - eta, -500, 500)
             fa, fb = 1 / (1 + np.exp(-above)), 1 / (1 + np.exp(-below))
             # F(a) - F(b) without cancellation
@@ -100,13 +104,14 @@ def fit_cumulative_link(rows: list[tuple[np.ndarray, np.ndarray]], d: int, grade
             some = y < k
             place_a[some, y[some]] = 1
             place_b[~(y == 0), y[y > 0] - 1] = 1
-            grad[:d] += x.T @ (v - u) / n
             grad[d:] += (place_a.T @ u - place_b.T @ v) / n
-            hess[:d, :d] += x.T @ ((aa + 2 * ab + bb)[:, None] * x) / n
-            cross = -x.T @ (place_a * (aa + ab)[:, None] + place_b * (bb + ab)[:, None]) / n
-            hess[:d, d:] += cross
-            hess[d:, :d] += cross.T
             both = place_a.T @ (ab[:, None] * place_b)
+            if at < full_rows:
+                grad[:d] += x.T @ (v - u) / n
+                hess[:d, :d] += x.T @ ((aa + 2 * ab + bb)[:, None] * x) / n
+                cross = -x.T @ (place_a * (aa + ab)[:, None] + place_b * (bb + ab)[:, None]) / n
+                hess[:d, d:] += cross
+                hess[d:, :d] += cross.T
             hess[d:, d:] += (place_a.T @ (aa[:, None] * place_a) + place_b.T @ (bb[:, None] * place_b) + both + both.T) / n
         return value, grad, hess
 
@@ -151,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, features: i
     known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(id_col).agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
     # The sample has sample_rows rows at most.
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(sample), id_col)
+    rows = written(docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(sample), id_col), "sample")
     n_all = rows.groupBy("toxic").count().collect()
     n = {r["toxic"]: r["count"] for r in n_all}
     n1, n0 = n.get(1, 0), n.get(0, 0)

@@ -12,8 +12,10 @@ Plan of ``link_documents``:
 4. Blocks are searched with DivideSkip (Li, Lu, Lu 2008) over inverted lists of whole sets: the longest lists are left
    out of the heap merge and binary-probed for what the merge of the short ones finds; overlaps are exact. A class that
    was linked leaves the lists, so a group of copies takes about one query and not all its pairs.
-   A block over `block_docs` classes or `block_shingles` shingles is dealt into salted parts, and every two parts meet
-   in one task: memory stays bounded and no pair is lost.
+   A block over `block_docs` classes or `block_shingles` shingles is dealt into salted parts. Each part meets itself and the
+   first part; what that leaves outside the block's largest component, its strays, then meets every part. Two classes
+   that are in different components are never both in the largest, so no pair is lost, memory stays bounded, and a
+   group of copies costs its parts times one and its strays' parts, not the square of its parts.
 5. Links (a spanning set of them) go to ``connected_components``.
 
 Shingles and sets are compared by 64-bit hashes.
@@ -185,7 +187,7 @@ def merge_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
 
 
 class Lists:
-    """Inverted lists of a block's sets: list -> sorted places of the sets that hold its shingle. Lists of one set are left out."""
+    """Inverted lists of some of a block's sets, given by their places: list -> sorted places of the sets that hold its shingle."""
 
     def __init__(self, sets: list[np.ndarray], alive: np.ndarray):
         self.n = len(sets)
@@ -262,6 +264,45 @@ def search_block(sets: list[np.ndarray], percent: int = 80) -> list[tuple[int, i
     return links
 
 
+def search_strays(sets: list[np.ndarray], stray: list[bool], components: list[int], percent: int = 80) -> list[tuple[int, int]]:
+    """Links from any set to a stray of another component, as many as join what all such links join."""
+    index = Lists(sets, np.flatnonzero(stray))
+    root = {c: c for c in components}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            c = root[c]
+        return c
+
+    links = []
+    for x, s in enumerate(sets):
+        for y, overlap in divide_skip(s, index, required(len(s), percent)):
+            a, b = find(components[x]), find(components[y])
+            if a != b and 100 * overlap >= percent * (len(s) + len(sets[y]) - overlap):
+                root[a] = b
+                links.append((x, y))
+    return links
+
+
+def _search_strays(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    for t, starts in whole_groups(batches, "block"):
+        ids, want, stray, component = (t.column(k).to_pylist() for k in ("doc_id", "sig", "stray", "component"))
+        found = shingle_sets(t.column("text"), width)
+        a, b = [], []
+        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+            own: dict[int, list] = {}
+            for i, s in zip(range(lo, hi), found):  # noqa: B905
+                if want[i] in own:
+                    own[want[i]][2] |= stray[i]
+                elif len(s) and set_name(s) == want[i]:
+                    own[want[i]] = [ids[i], s, stray[i], component[i]]
+            names, sets, strays, components = zip(*own.values(), strict=True) if own else ((), (), (), ())
+            for x, y in search_strays(list(sets), list(strays), list(components), percent):
+                a.append(names[x])
+                b.append(names[y])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def _search(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
     for t, starts in whole_groups(batches, "block"):
         ids, want = t.column("doc_id").to_pylist(), t.column("sig").to_pylist()
@@ -300,7 +341,7 @@ def _linked(
     width: int = 5,
     percent: int = 80,
     sketch_bits: int = 22,
-    block_docs: int = 2048,
+    block_docs: int = 512,
     block_shingles: int = 2_000_000,
 ) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id) for each row of docs."""
@@ -324,24 +365,36 @@ def _linked(
         own.where("doc_id is not null").select("text").mapInArrow(post, "token long, sig long, n int").repartition("token").sortWithinPartitions("token", "n", "sig").mapInArrow(lambda it: _led(it, percent), "leader long, sig long, n int")
     )
     members = written(members.groupBy("leader", "sig").agg(F.max("n").alias("n")), "members")
-    parts = members.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    blocks = (
-        members.join(parts, "leader")
-        .withColumn("mine", part)
-        .select("leader", "sig", "parts", "mine", other.alias("other"))
-        .select("sig", F.when(F.col("parts") == 1, F.col("leader")).otherwise(F.xxhash64("leader", F.least("mine", "other"), F.greatest("mine", "other"))).alias("block"))
-    )
-    wanted = blocks.join(classes, "sig").groupBy("rep", "sig").agg(F.collect_set("block").alias("blocks"))
-    links = (
-        own.join(wanted, F.col("doc_id") == F.col("rep"))
-        .select("doc_id", "sig", "text", F.explode("blocks").alias("block"))
-        .repartition("block")
-        .sortWithinPartitions("block")
-        .mapInArrow(lambda it: _search(it, width, percent), "a long, b long")
-    )
+    def parts_of(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("parts"))
+
+    def with_texts(blocks: DataFrame, *more: str) -> DataFrame:
+        """The blocks' classes with a text each, dealt out by block; a text is shuffled once, then to the blocks it is in."""
+        wanted = blocks.groupBy("rep", "sig").agg(F.collect_set(F.struct("block", *more)).alias("blocks"))
+        met = own.join(wanted, F.col("doc_id") == F.col("rep")).select("doc_id", "sig", "text", F.explode("blocks").alias("m"))
+        return met.select("doc_id", "sig", "text", "m.*").repartition("block").sortWithinPartitions("block")
+
+    parts = parts_of(members)
+    last = F.col("parts") - 1
+    others = F.when(F.col("mine") == 0, F.sequence(F.lit(0), last)).otherwise(F.array(F.lit(0), F.col("mine")))
+    members = members.join(parts, "leader").withColumn("mine", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")).join(classes, "sig")
+    dealt = members.select("rep", "sig", "leader", "parts", "mine", F.explode(others).alias("other"))
+    block = F.when(F.col("parts") == 1, F.col("leader")).otherwise(F.xxhash64("leader", F.least("mine", "other"), F.greatest("mine", "other")))
+    links = written(with_texts(dealt.withColumn("block", block)).mapInArrow(lambda it: _search(it, width, percent), "a long, b long"), "links")
     found = connected_components(links)
+
+    if parts.where("parts > 1").limit(1).count():
+        big = members.where("parts > 1").join(found, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
+        big = written(big, "large-blocks")
+        main = big.groupBy("leader", "component").agg(F.count("*").alias("size")).groupBy("leader").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
+        strays = big.join(main, "leader").where("component <> main").drop("main")
+        rounds = parts_of(strays).withColumnRenamed("parts", "rounds")
+        to_all = strays.join(rounds, "leader").select("leader", "rep", "sig", "component", F.lit(True).alias("stray"), F.pmod(F.xxhash64("sig", F.lit(7)), F.col("rounds")).cast("int").alias("round"), F.explode(F.sequence(F.lit(0), last)).alias("part"))
+        all_ = big.join(rounds, "leader").select("leader", "rep", "sig", "component", F.lit(False).alias("stray"), F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)).alias("round"), F.col("mine").alias("part"))
+        met = to_all.union(all_).withColumn("block", F.xxhash64("leader", "round", "part"))
+        more = with_texts(met, "stray", "component").mapInArrow(lambda it: _search_strays(it, width, percent), "a long, b long")
+        found = connected_components(links.union(more))
+
     classes = classes.join(found, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
     alone = rows.where("sig is null or doc_id is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
     return rows.where("doc_id is not null").join(classes, "sig").select("doc_id", "text_hash", "n_shingles", "component_id").union(alone)

@@ -93,7 +93,8 @@ def judge_documents(
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     soft = (100 * F.col("n_symbols") > symbol_percent * F.col("word_chars")) | (100 * F.col("n_dup_lines") > dup_lines_per_100 * F.col("n_words"))
     rows = written(rows.withColumn("base_failed", base).withColumn("rule_failed", F.col("base_failed") | soft), "quality")
-    verdicts = host_rates(rows, failed="rule_failed").select(F.col("host").alias("host_"), F.col("rate").alias("host_rate"))
+    # Written, the verdicts have a known size: few hosts are broadcast without dealing rows out by host, many are joined.
+    verdicts = written(host_rates(rows, failed="rule_failed").select(F.col("host").alias("host_"), F.col("rate").alias("host_rate")), "hosts")
     joined = rows.join(verdicts, F.col("host") == F.col("host_"), "left")
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("host_rate") > host_limit, F.lit(False))
     return joined.select("doc_id", *_COUNTS, "base_failed", "rule_failed", "host_rate", kept.alias("kept"))

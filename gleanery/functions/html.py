@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleanery import config
 from gleanery.functions import numbers
+from gleanery.functions.binding import let
 
 
 def squeezed(s: Column) -> Column:
@@ -40,9 +41,11 @@ def inline_number(text: Column, field: str) -> Column:
     unit = "(?:kj|kcal)" if field == "energy_kj" else "(?:g|mg)"
     low = F.lower(text)
     hits = [F.nullif(F.regexp_extract(low, rf"{re.escape(v)}[^0-9<]{{0,25}}[0-9][0-9.,]*\s*{unit}", 0), F.lit("")) for v in labels]
-    hit = F.coalesce(*hits)
-    number = numbers.energy_kj(hit) if field == "energy_kj" else numbers.to_double(F.regexp_extract(hit, r"([0-9][0-9.,]*)\s*(?:g|mg)$", 1))
-    return numbers.bounded(F.lit(field), number)
+
+    def number(hit: Column) -> Column:
+        return numbers.energy_kj(hit) if field == "energy_kj" else numbers.to_double(F.regexp_extract(hit, r"([0-9][0-9.,]*)\s*(?:g|mg)$", 1))
+
+    return numbers.bounded(F.lit(field), let(F.coalesce(*hits), number))
 
 
 def labelled_paragraph(text: Column, labels: tuple[str, ...], stops: tuple[str, ...], least: int, window: int = 600, most: int = 500) -> Column:
@@ -56,10 +59,14 @@ def labelled_paragraph(text: Column, labels: tuple[str, ...], stops: tuple[str,
         after = F.regexp_replace(F.substring(text, at + len(label), F.lit(window)), r"^[\s:：\-–—.]+", "")
         seg = squeezed(F.get(F.split(after, stop, 2), 0))
         seg = F.regexp_replace(seg, r"(?i)^(?:" + "|".join(labels) + r")\s*[:：]?\s*", "")
-        fits = (at > 0) & (F.length(seg) >= least)
-        if labels is not config.INGREDIENT_LABELS:
-            fits = fits & ~seg.rlike(pointer)
-        tries.append(F.when(fits, F.left(seg, F.lit(most))))
+
+        def fitting(seg: Column) -> Column:
+            fits = F.length(seg) >= least
+            if labels is not config.INGREDIENT_LABELS:
+                fits = fits & ~seg.rlike(pointer)
+            return F.when(fits, F.left(seg, F.lit(most)))
+
+        tries.append(F.when(at > 0, let(seg, fitting)))
     return F.coalesce(*tries)
 
 

@@ -14,9 +14,9 @@ _HASH = "list_sum(list_transform(range(1, 17), lambda i: case when embedding[i]
 
 
 def _hash() -> Column:
-    """The signs of the first sixteen numbers as bits."""
-    bits = F.transform(F.slice("embedding", 1, 16), lambda x, i: F.when(x > 0, F.pow(F.lit(2.0), i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    """The signs of the sixty-four numbers as bits."""
+    bits = F.transform(F.slice("embedding", 1, 64), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
+    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x))
 
 
 @query("""

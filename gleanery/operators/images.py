@@ -35,6 +35,28 @@ def distance(a: Column, b: Column) -> Column:
     return F.coalesce(F.bit_count(a.bitwiseXOR(b)), F.lit(999))
 
 
+def neighbours(images: DataFrame, keys: list[str], tie: str, hash_col: str, under: int = 5) -> DataFrame:
+    """(keys, tie, other, distance): every pair of a group whose 64-bit hashes differ in fewer than `under` bits.
+
+    Of `under` bands of bits such a pair has one in common, so pairs meet by equality of a band; the first common one gives the row.
+    """
+    edges = [64 * i // under for i in range(under + 1)]
+    masks = [((1 << b) - (1 << a) + (1 << 63)) % (1 << 64) - (1 << 63) for a, b in zip(edges, edges[1:])]
+
+    def band(h: Column, i: int) -> Column:
+        return h.bitwiseAND(F.lit(masks[i]).cast("bigint"))
+
+    rows = images.where(F.col(hash_col).isNotNull()).select(*keys, F.col(tie).alias("id_"), F.col(hash_col).alias("hash_"))
+    dealt = rows.select("*", F.posexplode(F.array(*(band(F.col("hash_"), i) for i in range(under)))).alias("band_", "bits_"))
+    a, b = dealt.alias("a"), dealt.alias("b")
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*keys, "band_", "bits_")]
+    met = a.join(b, [*on, F.col("a.id_") < F.col("b.id_")])
+    differs = F.col("a.hash_").bitwiseXOR(F.col("b.hash_"))
+    first = F.coalesce(*(F.when(band(differs, i) == 0, i) for i in range(under)))
+    d = distance(F.col("a.hash_"), F.col("b.hash_"))
+    return met.where((d < under) & (first == F.col("a.band_"))).select(*(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.id_").alias(tie), F.col("b.id_").alias("other"), d.alias("distance"))
+
+
 def pick_distinct(images: DataFrame, keys: list[str], score_col: str, tie: str, hash_col: str, most: int = 2, least_distance: int = 5, top: int = 64) -> DataFrame:
     """(keys, tie, n): the best images of each group that differ enough from each better one that was picked.
 

@@ -45,12 +45,9 @@ with h as (select vec_id, label, {_HASH} as hash from embeddings where vec_id <
 select a.vec_id, b.vec_id as other, bit_count(xor(a.hash, b.hash))::int as distance from h a join h b on a.label = b.label and (a.hash >> 8) = (b.hash >> 8) and a.vec_id < b.vec_id and bit_count(xor(a.hash, b.hash)) < 5
 """)
 def hash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of images of one label with the same upper hash byte and few differing bits; the first 400 are the gallery."""
-    h = table(spark, sf_dir, "embeddings").where("vec_id < 400").select("vec_id", "label", _hash().alias("hash")).withColumn("top", F.shiftright("hash", 8))
-    a, b = h.alias("a"), h.alias("b")
-    met = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.top") == F.col("b.top")) & (F.col("a.vec_id") < F.col("b.vec_id")))
-    d = images.distance(F.col("a.hash"), F.col("b.hash"))
-    return met.where(d < 5).select(F.col("a.vec_id").alias("vec_id"), F.col("b.vec_id").alias("other"), d.alias("distance"))
+    """Pairs of images of one label whose hashes differ in fewer than five bits."""
+    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", _hash().alias("hash"))
+    return images.neighbours(rows, ["label"], "vec_id", "hash").select("vec_id", "other", "distance")
 
 
 @query("""

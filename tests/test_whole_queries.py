@@ -30,3 +30,19 @@ def test_phash_dedup_compares_all_signs(spark, tmp_path):
                 want.append((label, i, len(picked)))
     assert sorted((r.label, r.vec_id, r.n) for r in QUERIES["phash_dedup"](spark, str(tmp_path)).collect()) == want
     assert [i for label, i, _ in want if label == 0] == [0, 1, 3]
+
+
+def test_hash_neighbours_finds_all_pairs(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(60):
+        v = rng.choice([-1, 1], 64)
+        for k in range(4):
+            w = v.copy()
+            w[rng.choice(64, rng.integers(0, 7), replace=False)] *= -1
+            rows.append((1000 * k + i * 7, int(rng.integers(0, 2)), w))
+    rows += [(9000, 0, -np.ones(64)), (9001, 0, np.concatenate([-np.ones(60), np.ones(4)]))]
+    vectors(spark, tmp_path, rows)
+    want = sorted((i, j, d) for i, k, v in rows for j, m, w in rows if i < j and k == m and (d := differing(v, w)) < 5)
+    assert sorted((r.vec_id, r.other, r.distance) for r in QUERIES["hash_neighbours"](spark, str(tmp_path)).collect()) == want
+    assert {d for *_, d in want} == {0, 1, 2, 3, 4}

@@ -81,13 +81,13 @@ select page_id, page_id % 90 + 0.5 as fat_g, case when (page_id % 50) * 41.84 <=
   case when page_id % 3 > 0 then 'nuts and soya' end as allergens from pages
 """)
 def labelled_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled facts in the text behind each page."""
+    """Labelled facts in the text of each page with a made sentence behind it."""
     n = F.col("page_id")
     told = F.concat(
         F.lit("Zutaten: cocoa "), n.cast("string"), F.lit(" and milk powder. Fett "), (n % 90).cast("string"), F.lit(",5 g Energie "), (n % 50 * 10).cast("string"),
         F.lit(" kcal. Allergens: "), F.when(n % 3 == 0, "see ingredient list").otherwise("nuts and soya"), F.lit(". Verwendung"),
     )
-    rows = table(spark, sf_dir, "pages").select("page_id", told.alias("t"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.concat(html.stripped(F.coalesce("html", F.lit(""))), F.lit(" "), told).alias("t"))
     return rows.select(
         "page_id", html.inline_number(F.col("t"), "fat_g").alias("fat_g"), F.round(html.inline_number(F.col("t"), "energy_kj"), 6).alias("energy_kj"), html.ingredients(F.col("t")).alias("ingredients"), html.allergens(F.col("t")).alias("allergens")
     )

@@ -46,3 +46,23 @@ def test_hash_neighbours_finds_all_pairs(spark, tmp_path):
     want = sorted((i, j, d) for i, k, v in rows for j, m, w in rows if i < j and k == m and (d := differing(v, w)) < 5)
     assert sorted((r.vec_id, r.other, r.distance) for r in QUERIES["hash_neighbours"](spark, str(tmp_path)).collect()) == want
     assert {d for *_, d in want} == {0, 1, 2, 3, 4}
+
+
+def test_labelled_scan_reads_the_page(spark, tmp_path):
+    long = "<p>words</p>" * 3000
+    rows = [
+        (1, f"<html><script>Fat 77 g</script>{long}<td>Fat</td><td>12,3 g</td><p>Zutaten: oats, salt and sugar. Allergens: milk. </p></html>"),
+        (2, "<p>Fett 3 g then Fat 9 g and Energie 100 kJ</p>"),
+        (3, "<p>nothing</p>"),
+        (4, None),
+        (5, "<p>Fettarm</p>"),
+    ]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.fat_g, r.energy_kj, r.ingredients, r.allergens) for r in QUERIES["labelled_scan"](spark, str(tmp_path)).collect()}
+    assert got == {
+        1: (12.3, 41.84, "oats, salt and sugar", "milk"),
+        2: (9.0, 100.0, "cocoa 2 and milk powder", "nuts and soya"),
+        3: (3.5, 125.52, "cocoa 3 and milk powder", None),
+        4: (4.5, 167.36, "cocoa 4 and milk powder", "nuts and soya"),
+        5: (5.5, 209.2, "cocoa 5 and milk powder", "nuts and soya"),
+    }

@@ -86,10 +86,10 @@ r as (select page_id, case when len(own) > 0 then len(list_filter(own, lambda t:
 select page_id, round(own_ratio, 6) as own_ratio, round(greatest(own_ratio, other_ratio), 6) as best_ratio, (free or other_ratio >= 0.3) as relevant from r
 """)
 def name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's words against its own name and its successor's."""
+    """A page's words against its own name and its successor's; the last page has no other."""
     name = F.trim(F.regexp_replace(F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1), r"<[^>]+>", " "))
-    h = table(spark, sf_dir, "pages").select("page_id", name.alias("name"), F.left(F.regexp_replace("html", r"<[^>]+>", " "), F.lit(4000)).alias("body"))
-    p = h.join(h.select((F.col("page_id") - 1).alias("page_id"), F.col("name").alias("other")), "page_id")
+    h = table(spark, sf_dir, "pages").select("page_id", name.alias("name"), F.regexp_replace("html", r"<[^>]+>", " ").alias("body"))
+    p = h.join(h.select((F.col("page_id") - 1).alias("page_id"), F.col("name").alias("other")), "page_id", "left")
     both = F.array("name", "other")
     return p.select(
         "page_id",

@@ -66,3 +66,10 @@ def test_labelled_scan_reads_the_page(spark, tmp_path):
         4: (4.5, 167.36, "cocoa 4 and milk powder", "nuts and soya"),
         5: (5.5, 209.2, "cocoa 5 and milk powder", "nuts and soya"),
     }
+
+
+def test_name_match_reads_whole_pages_and_keeps_the_last(spark, tmp_path):
+    pages = [(1, "<h1>Oat drink</h1>" + "<p>word </p>" * 1500 + "<p>Crunchy almond</p>"), (2, "<h1>Crunchy almond</h1>"), (5, "<h1>Cocoa</h1>")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.own_ratio, r.best_ratio, r.relevant) for r in QUERIES["name_match"](spark, str(tmp_path)).collect()}
+    assert got == {1: (1.0, 1.0, True), 2: (1.0, 1.0, True), 5: (1.0, 1.0, True)}

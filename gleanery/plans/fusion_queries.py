@@ -77,7 +77,7 @@ select n.req_id, n.host, n.n::int as n, f.n_fields::bigint as n_fields from n jo
 def rescue_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that are covered badly, with up to three suppliers not seen yet."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("req_id"), F.col("l_suppkey").alias("host"), "l_linenumber", F.concat("l_returnflag", "l_linestatus").alias("field"))
-    poor = candidates.needing_rescue(lines.where("req_id % 2 = 0"), 6)
+    poor = candidates.needing_rescue(lines, 6)
     more = lines.join(poor, "req_id").select("req_id", "host", "n_fields").distinct()
     return candidates.new_hosts(more, lines.where("l_linenumber = 1"), ["req_id", "host"], ["host"], 3).select("req_id", "host", "n", "n_fields")
 

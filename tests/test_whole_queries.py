@@ -73,3 +73,11 @@ def test_name_match_reads_whole_pages_and_keeps_the_last(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: (r.own_ratio, r.best_ratio, r.relevant) for r in QUERIES["name_match"](spark, str(tmp_path)).collect()}
     assert got == {1: (1.0, 1.0, True), 2: (1.0, 1.0, True), 5: (1.0, 1.0, True)}
+
+
+def test_rescue_set_takes_odd_keys(spark, tmp_path):
+    lines = [(k, h, n, "A", "F") for k in (2, 3) for n, h in enumerate((10, 11, 12, 13, 14), 1)]
+    full = [(5, h, h, f, s) for h, (f, s) in enumerate([(f, s) for f in "ANR" for s in "FO"], 1)]
+    spark.createDataFrame(lines + full, "l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted((r.req_id, r.host, r.n, r.n_fields) for r in QUERIES["rescue_set"](spark, str(tmp_path)).collect())
+    assert got == [(k, h, n, 1) for k in (2, 3) for n, h in enumerate((11, 12, 13), 1)]

@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from gleanery.llm.common import table
+from gleanery.llm.common import table, written
 from gleanery.sources.scratch import new_path
 
-SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, payload_length long, headers map<string,string>, payload binary"
+SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, payload_length long, declared_length long, headers map<string,string>, payload binary"
 #: Columns that a record's header decides, with the header's name.
 _BY_HEADER = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
 _STEP = 1 << 16
@@ -39,14 +39,18 @@ def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 class _Lines:
-    """Reads lines and lengths from a stream of bytes and counts what it passes over."""
+    """Reads lines and lengths from a stream of bytes and counts what it passes over.
 
-    def __init__(self, stream):
+    size is that of a stream that can be moved in: it jumps over bytes, where others must read them.
+    """
+
+    def __init__(self, stream, size: int | None = None):
         self.stream = stream if isinstance(stream, (gzip.GzipFile, io.BytesIO)) else io.BufferedReader(stream, _STEP)
+        self.size = size
         self.passed = 0
 
-    def line(self) -> bytes:
-        return self.stream.readline()
+    def line(self, most: int = -1) -> bytes:
+        return self.stream.readline(most)
 
     def take(self, n: int) -> bytes:
         out = self.stream.read(n)
@@ -56,6 +60,11 @@ class _Lines:
 
     def pass_over(self, n: int) -> None:
         self.passed += n
+        if self.size is not None:
+            if self.stream.tell() + n > self.size:
+                raise EOFError("the archive ends inside a record")
+            self.stream.seek(n, io.SEEK_CUR)
+            return
         while n > 0:
             got = len(self.stream.read(min(n, _STEP)))
             if not got:
@@ -63,6 +72,13 @@ class _Lines:
             n -= got
 
 
+def _number(text: str | bytes | None) -> int | None:
+    """A length as it should be: digits alone, within a long; else None."""
+    text = text.decode("latin-1") if isinstance(text, bytes) else text or ""
+    text = text.strip()
+    return int(text) if text.isascii() and text.isdigit() and len(text) < 19 else None
+
+
 def _fields(lines: _Lines) -> dict[str, str]:
     """Header fields up to the blank line; a line that begins with white space goes on with the one before."""
     out: dict[str, str] = {}
@@ -82,8 +98,31 @@ def _get(fields: dict[str, str], name: str) -> str | None:
     return fields.get(name) if name in fields else next((v for k, v in fields.items() if k.lower() == name.lower()), None)
 
 
+def _http_head(lines: _Lines, left: int) -> tuple[int, int | None]:
+    """Reads an HTTP header of at most `left` bytes: its size with the blank line, and the Content-Length that it tells."""
+    used, told = 0, None
+    while used < left:
+        line = lines.line(left - used)
+        if not line:
+            raise EOFError("the archive ends inside a record")
+        used += len(line)
+        if line in (b"\r\n", b"\n"):
+            break
+        name, colon, value = line.partition(b":")
+        if colon and told is None and name.strip().lower() == b"content-length":
+            told = _number(value)
+    return used, told
+
+
 def records(stream, wanted=lambda row: True, payload: bool = True, lines: _Lines | None = None) -> Iterator[dict]:
-    """Records of an archive. wanted judges the columns that the header decides, before anything of the block is read."""
+    """Records of an archive. wanted judges the columns that the header decides, before anything of the block is read.
+
+    Of an HTTP record the header is read line by line; the rest of the block, whatever length that header tells, is the
+    payload: read if asked for, else passed over. A transfer encoding isn't undone. payload_length is the payload's own
+    size, declared_length what the HTTP header tells (null where that is absent or no number). A record whose own
+    Content-Length is absent or no number has no known end: ValueError, as for text that isn't a record; an archive that
+    ends inside a record: EOFError.
+    """
     lines = lines or _Lines(stream)
     while line := lines.line():
         if not line.strip():
@@ -91,35 +130,21 @@ def records(stream, wanted=lambda row: True, payload: bool = True, lines: _Lines
         if not line.startswith(b"WARC/"):
             raise ValueError(f"no WARC record begins with {line[:40]!r}")
         headers = _fields(lines)
-        left = int(_get(headers, "Content-Length") or 0)
-        row = {c: _get(headers, h) for c, h in _BY_HEADER.items()} | {"headers": headers, "payload": None, "payload_length": None}
+        left = _number(_get(headers, "Content-Length"))
+        if left is None:
+            raise ValueError(f"a record without a length: {headers}"[:300])
+        row = {c: _get(headers, h) for c, h in _BY_HEADER.items()} | {"headers": headers, "payload": None, "payload_length": None, "declared_length": None}
         if not wanted(row):
             lines.pass_over(left)
             continue
-        length: int | None = left
-        if (_get(headers, "Content-Type") or "").startswith("application/http"):
-            head = io.BytesIO(lines.take(left)) if payload or left <= _STEP else None
-            if head is not None:
-                head.readline()
-                http = _fields(_Lines(head))
-                body = head.read()
-                told = _get(http, "Content-Length")
-                length = int(told) if told else len(body)
-                row |= {"payload_length": length, "payload": body if payload else None}
-            else:
-                lines.line()
-                length, passed = None, 0
-                while (line := lines.line()) not in (b"\r\n", b"\n"):
-                    passed += len(line)
-                    if line.lower().startswith(b"content-length:"):
-                        length = int(line.partition(b":")[2])
-                row["payload_length"] = length
-                lines.pass_over(length or 0)
-        elif payload:
-            row |= {"payload": lines.take(left), "payload_length": left}
+        if (_get(headers, "Content-Type") or "").lower().startswith("application/http"):
+            used, row["declared_length"] = _http_head(lines, left)
+            left -= used
+        row["payload_length"] = left
+        if payload:
+            row["payload"] = lines.take(left)
         else:
             lines.pass_over(left)
-            row["payload_length"] = left
         yield row
 
 
@@ -170,10 +195,11 @@ class _Reader(DataSourceReader):
             return
         fs, at = _file_system(partition.path)
         arrow = pa.schema([(f.name, _ARROW[f.dataType.simpleString()]) for f in self.schema])
-        with fs.open_input_stream(at, compression=None) as raw:
-            stream = gzip.GzipFile(fileobj=raw) if at.endswith(".gz") else raw
+        packed = at.endswith(".gz")
+        with fs.open_input_stream(at, compression=None) if packed else fs.open_input_file(at) as raw:
+            lines = _Lines(gzip.GzipFile(fileobj=raw)) if packed else _Lines(raw, raw.size())
             rows, held = [], 0
-            for row in records(stream, self._wanted, self.payload):
+            for row in records(None, self._wanted, self.payload, lines):
                 rows.append({k: list(row[k].items()) if k == "headers" else row[k] for k in arrow.names})
                 held += len(row["payload"] or b"") + 500
                 if held >= _BATCH_BYTES or len(rows) >= 10_000:
@@ -272,7 +298,12 @@ def register(spark: SparkSession) -> None:
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """Records of the archives at path; filters on header columns are decided before payloads are read."""
+    """Records of the archives at path; filters on header columns are decided before payloads are read.
+
+    Plain archives are moved in, so payloads that aren't asked for are not even read; gzip members are inflated and
+    dropped. A folder without archives gives no rows. Header fields that a record lacks are null; broken records raise,
+    see ``records``. A payload is one value, so it must fit a task's memory.
+    """
     register(spark)
     return spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).load()
 
@@ -286,6 +317,9 @@ def write_warc(rows: DataFrame, path: str) -> None:
 def deduplicated(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 100) -> DataFrame:
     """A record for each row: responses, and revisits of payloads of least_bytes or more that a smaller id has.
 
+    Digests are compared on narrow rows. The payloads that come more than once are written as a table of their own, so
+    Spark knows its size: while that is small the payloads are not shuffled.
+
     A null payload is an empty one. A null id is larger than any other; if all ids of a payload are null, and for rows
     that repeat the smallest id, each is a response. A null url is left out of the record. Further columns are not read.
     """
@@ -294,7 +328,8 @@ def deduplicated(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("payload_length", F.length("payload").cast("long"))
     long_ = F.col("payload_length") >= least_bytes
     # One row for each payload that comes more than once; summed before the shuffle.
-    copies = rows.where(long_).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
+    copies = rows.where(long_).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    copies = written(copies.select("digest", "first"), "copies")
     joined = rows.join(copies, "digest", "left")
     again = F.coalesce(long_ & F.col("first").isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col("first"))), F.lit(False))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
@@ -318,7 +353,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = read_warc(spark, path).where("record_type = 'response'")
     full = full.select(whole(F.col("record_id")).alias("page_id"), F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
     again = read_warc(spark, path, payload=False).where("record_type = 'revisit'")
-    again = again.select(whole(F.col("record_id")).alias("page_id"), F.col("payload_length").alias("payload_bytes"), F.regexp_replace("payload_digest", "^sha256:", "").alias("payload_digest"), "record_type", whole(F.col("refers_to")).alias("refers_to"))
+    again = again.select(whole(F.col("record_id")).alias("page_id"), F.col("declared_length").alias("payload_bytes"), F.regexp_replace("payload_digest", "^sha256:", "").alias("payload_digest"), "record_type", whole(F.col("refers_to")).alias("refers_to"))
     return full.union(again)
 
 

@@ -57,7 +57,7 @@ def test_payloads_and_headers_come_back(spark, tmp_path):
     back = {(r.record_id, r.record_type): r for r in warc.read_warc(spark, path).collect()}
     assert bytes(back["<urn:page:1>", "response"].payload).decode() == ROWS[9][2]
     r = back["<urn:page:5>", "revisit"]
-    assert (r.payload_length, bytes(r.payload), r.refers_to) == (120, b"", "<urn:page:2>")
+    assert (r.declared_length, r.payload_length, bytes(r.payload), r.refers_to) == (120, 0, b"", "<urn:page:2>")
     assert "X-Evil" not in r.headers and r.target_uri == "http://a/%0D%0AX-Evil: 1"
 
 
@@ -92,3 +92,56 @@ def test_broken_archive():
         list(warc.records(io.BytesIO(b"WARC/1.0\r\nContent-Length: 10\r\n\r\nabc")))
     with pytest.raises(ValueError, match="no WARC record"):
         list(warc.records(io.BytesIO(b"nonsense\r\n")))
+    for told in (b"", b"Content-Length: ten\r\n", b"Content-Length: -1\r\n"):
+        with pytest.raises(ValueError, match="without a length"):
+            list(warc.records(io.BytesIO(b"WARC/1.0\r\n" + told + b"\r\nabc")))
+
+
+SIZES = [0, 1, 1000, 65_000, 70_000, 300_000]
+TOLD = [None, 0, 50_000, 200_000, "x", "1" * 30]
+
+
+def http_record(number, size, told, blank=b"\r\n"):
+    body = (b"%d:" % number + b"line\r\n\r\nWARC/1.0\r\n" * (size // 10 + 1))[:size]
+    head = b"HTTP/1.1 200 OK\r\nX: y\r\n" + (b"" if told is None else f"CONTENT-LENGTH: {told}\r\n".encode()) + blank
+    block = head + body
+    return f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <{number}>\r\nContent-Type: Application/http; msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n", body
+
+
+def common_archive():
+    made = [(size, told, *http_record(i, size, told)) for i, (size, told) in enumerate((s, t) for s in SIZES for t in TOLD)]
+    whole = b"".join(r for _, _, r, _ in made)
+    want = [(f"<{i}>", len(body), told if isinstance(told, int) else None, body) for i, (_, told, _, body) in enumerate(made)]
+    return made, whole, want
+
+
+@pytest.mark.parametrize("payload", [True, False])
+@pytest.mark.parametrize("kind", ["plain", "moved", "gzip"])
+def test_common_archives(kind, payload):
+    """Lengths that are absent, wrong or no numbers; bodies below and above a read's size; what isn't wanted is passed over."""
+    made, whole, want = common_archive()
+    if kind == "gzip":
+        lines = warc._Lines(gzip.GzipFile(fileobj=io.BytesIO(b"".join(gzip.compress(r) for _, _, r, _ in made))))
+    else:
+        lines = warc._Lines(io.BytesIO(whole), len(whole) if kind == "moved" else None)
+    got = [(r["record_id"], r["payload_length"], r["declared_length"], r["payload"]) for r in warc.records(None, payload=payload, lines=lines)]
+    assert got == [(i, n, told, body if payload else None) for i, n, told, body in want]
+    assert lines.passed == (0 if payload else sum(n for _, n, _, _ in want))
+
+
+def test_common_archives_in_spark(spark, tmp_path):
+    made, whole, want = common_archive()
+    (tmp_path / "a.warc").write_bytes(whole)
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(r) for _, _, r, _ in made))
+    full = sorted((r.record_id, r.payload_length, r.declared_length, bytes(r.payload)) for r in warc.read_warc(spark, str(tmp_path)).collect())
+    assert full == sorted(2 * want, key=lambda w: w[0])
+    bare = [(r.record_id, r.payload_length, r.payload) for r in warc.read_warc(spark, str(tmp_path), payload=False).where("record_id = '<35>'").collect()]
+    assert bare == 2 * [("<35>", 300_000, None)]
+
+
+def test_a_header_without_an_end():
+    block = b"HTTP/1.1 200 OK\r\nX: y"
+    data = b"WARC/1.0\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    assert [(r["payload_length"], r["payload"]) for r in warc.records(io.BytesIO(2 * data))] == 2 * [(0, b"")]
+    with pytest.raises(EOFError):
+        list(warc.records(io.BytesIO(data[:-10])))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from gleanery.llm.common import table, written
 
@@ -19,25 +21,61 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK = 1024
 
 
+#: Runs of white space (as the vocabulary's pattern sees it) so long that its look-ahead would have to step back far.
+_LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+
+
 @lru_cache(maxsize=2)
-def encoder(vocabulary: str):
-    """The encoder of a rank file; loaded once for each Python worker."""
+def encoder(ranks: bytes):
+    """The encoder of a rank file's content; made once for each Python worker."""
     import tiktoken
 
-    with open(vocabulary, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
+
+
+def encoded_length(encoding, text: str | None) -> int:
+    """The exact number of tokens of a whole text, of any length; 0 for a null or empty one.
+
+    A run of white space is one piece to the pattern, but for its last character where more text follows: that stays
+    with what follows. So long runs are cut out at these bounds and merged as the pieces that they are, and the pattern
+    never has to step back over them.
+    """
+    if not text:
+        return 0
+    n = at = 0
+    for run in _LONG_RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        n += len(encoding.encode_ordinary(text[at : run.start()])) + len(encoding._encode_single_piece(text[run.start() : end]))
+        at = end
+    return n + len(encoding.encode_ordinary(text[at:]))
+
+
+def shipped_encoder(spark: SparkSession, vocabulary: str | None = None) -> Callable:
+    """A function for tasks that gives the encoder of a rank file which only the driver needs to have.
+
+    vocabulary defaults to the setting spark.gleanery.vocabulary, and that to VOCABULARY. The file, a vocabulary's ranks,
+    is sent to the executors whole: its size hangs on the vocabulary, not on the corpus.
+    """
+    with open(vocabulary or spark.conf.get("spark.gleanery.vocabulary", VOCABULARY), "rb") as f:
+        sent = spark.sparkContext.broadcast(f.read())
+    return lambda: encoder(sent.value)
+
 
+def encoded_lengths(docs: DataFrame, vocabulary: str | None = None, text_col: str = "text", carry: Sequence[Column | str] = ()) -> DataFrame:
+    """(*carry, length) of each row's whole text in tokens; 0 for a null or empty text.
 
-def encoded_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "text") -> DataFrame:
-    """(length) of each row's whole text in tokens; 0 for a null or empty text."""
+    Lone surrogates can't be in a Spark string; other odd characters are encoded by their bytes.
+    """
+    get = shipped_encoder(docs.sparkSession, vocabulary)
+    rows = docs.select(*carry, F.col(text_col).cast("string").alias("text_"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_ordinary
+        encoding = get()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(encode(t)) if t else 0 for t in b.column("text").to_pylist()], pa.int64())], ["length"])
+            yield b.drop_columns(["text_"]).append_column("length", pa.array((encoded_length(encoding, t.as_py()) for t in b.column("text_")), pa.int64()))
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "length long")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField("length", LongType())]))
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
@@ -84,11 +122,11 @@ def quantile(sums: DataFrame, q: float) -> int | None:
     return None if row is None else int(row[0])
 
 
-def token_histogram(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "text") -> DataFrame:
+def token_histogram(docs: DataFrame, vocabulary: str | None = None, text_col: str = "text") -> DataFrame:
     """The histogram of docs with its suffix sums: a row for each encoded length that occurs.
 
-    Null and empty texts count as documents of length 0; repeated rows count each. Other columns are not read. An
-    empty table gives an empty result.
+    Null and empty texts count as documents of length 0; repeated rows count each; very long texts, and long runs of one
+    character in them, are counted exactly. Other columns are not read. An empty table gives an empty result.
     """
     return suffix_sums(written(histogram(encoded_lengths(docs, vocabulary, text_col)), "lengths"))
 

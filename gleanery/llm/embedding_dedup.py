@@ -1,13 +1,17 @@
 """Embedding near-duplicates by lattice hashing: random projections decoded to E8 points in several tables.
 
-Each table projects unit vectors to eight dimensions, shifts and scales them, and decodes them to the nearest point of
-the E8 lattice, the vector's cell. A vector lies in its own cell and probes the neighbouring cells nearest to it; two
-vectors of one label meet where one's own cell is the other's own or probed cell. Their cosine is then verified in
-double precision. A pair that meets in several cells counts in the first alone, so tasks give sums and spanning links
-and no list of pairs.
+A table projects unit vectors to `points` times eight dimensions, shifts and scales them, and decodes each eight to the
+nearest point of the E8 lattice; the points together are the vector's cell. A vector lies in its own cell and probes the
+neighbouring cells nearest to it, a step of one point each; two vectors of one label meet where one's own cell is the
+other's own or probed cell. Their cosine is then verified in double precision. A pair that meets in several cells counts
+in the first alone, so tasks give sums and spanning links and no list of pairs.
+
+``settings`` chooses points, scale and tables from the number of vectors: more of them get finer cells, so that a vector
+meets about as many strangers in any table size, and as many tables as keep the chance of missing a pair.
 
 Equal vectors are one row with a multiplicity from the start. Cells with one vector are dropped before vectors move.
-A cell of over `block` vectors is dealt into salted parts, and every two parts meet in one task.
+A cell of over `block` vectors is dealt into salted parts, and every two parts meet in one task: n_links counts every
+link, so vectors that share a cell must be compared with each other.
 """
 
 from __future__ import annotations
@@ -57,30 +61,75 @@ def decode_e8(x: np.ndarray) -> np.ndarray:
 class Lattice:
     """The tables' projections for vectors of one length."""
 
-    def __init__(self, dim: int, tables: int, probes: int, scale: float, seed: int):
+    def __init__(self, dim: int, tables: int, probes: int, points: int, scale: float, seed: int):
         rng = np.random.default_rng([seed, dim])
         width = max(dim, 8)
-        self.planes = [np.linalg.qr(rng.standard_normal((width, 8)))[0][:dim] * scale * np.sqrt(width / 64) for _ in range(tables)]
-        self.shifts = rng.random((tables, 8)) * 2
-        self.mixers = (rng.integers(1, 2**62, (tables, 9)) * 2 + 1).astype(np.int64)
+        # Scaled so that a coordinate varies by scale / 8 whatever the length of the vectors.
+        self.planes = [np.stack([np.linalg.qr(rng.standard_normal((width, 8)))[0][:dim] * scale * np.sqrt(width / 64) for _ in range(points)]) for _ in range(tables)]
+        self.shifts = rng.random((tables, points, 8)) * 2
+        self.mixers = (rng.integers(1, 2**62, (tables, points * 8 + 1)) * 2 + 1).astype(np.int64)
         self.probes = probes
 
     def cells(self, unit: np.ndarray, salt: np.ndarray) -> np.ndarray:
         """(vectors, tables, 1 + probes) names of cells, the vector's own first; salt sets labels and lengths apart."""
         out = np.empty((len(unit), len(self.planes), 1 + self.probes), dtype=np.int64)
-        roots = e8_roots()
-        for t, (plane, shift, mixer) in enumerate(zip(self.planes, self.shifts, self.mixers, strict=True)):
-            x = unit @ plane + shift
-            own = decode_e8(x)
-            near = np.argsort(-((x - own) @ roots.T), axis=1, kind="stable")[:, : self.probes]
-            points = np.concatenate([own[:, None, :], own[:, None, :] + roots[near]], axis=1)
-            twice = np.rint(points * 2).astype(np.int64)
-            name = (twice * mixer[:8]).sum(axis=2) + (salt * mixer[8])[:, None]
+        twice_roots = np.rint(e8_roots() * 2).astype(np.int64)
+        for t, (planes, shifts, mixer) in enumerate(zip(self.planes, self.shifts, self.mixers, strict=True)):
+            x = np.einsum("nd,pde->npe", unit, planes, optimize=True) + shifts
+            own = decode_e8(x.reshape(-1, 8)).reshape(x.shape)
+            # A step's name is a term that is added to the own cell's.
+            steps = (twice_roots @ mixer[:-1].reshape(-1, 8).T).T.ravel()
+            closeness = ((x - own) @ e8_roots().T).reshape(len(unit), -1)
+            near, rows = np.empty((len(unit), self.probes), dtype=np.int64), np.arange(len(unit))
+            for k in range(self.probes):
+                near[:, k] = closeness.argmax(axis=1)
+                closeness[rows, near[:, k]] = -np.inf
+            name = (np.rint(own * 2).astype(np.int64).reshape(len(unit), -1) * mixer[:-1]).sum(axis=1) + salt * mixer[-1]
+            name = np.concatenate([name[:, None], name[:, None] + steps[near]], axis=1)
             name ^= name >> 29
             out[:, t, :] = name * np.int64(0x1B873593CC9E2D51 | 1)
         return out
 
 
+@lru_cache(maxsize=64)
+def _odds(least: float, probes: int, points: int, scale: float, trials: int = 2000) -> tuple[float, float]:
+    """The chances that a table lets a pair of cosine `least` meet, and that two random vectors share a cell, by trial."""
+    rng = np.random.default_rng([points, int(scale * 100)])
+    x, y = rng.standard_normal((2, trials, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y -= (x * y).sum(axis=1)[:, None] * x
+    y = least * x + np.sqrt(max(0.0, 1 - least * least)) * y / np.linalg.norm(y, axis=1)[:, None]
+    lattice, none = Lattice(64, 1, probes, points, scale, 1), np.zeros(trials, dtype=np.int64)
+    a, b = lattice.cells(x, none)[:, 0], lattice.cells(y, none)[:, 0]
+    meet = (a == b[:, :1]).any(axis=1) | (b == a[:, :1]).any(axis=1)
+    other = Lattice(8, 1, 0, 1, scale, 2)
+    other.planes[0][0] = np.eye(8) * scale / 8
+    _, times = np.unique(other.cells(rng.standard_normal((20_000, 8)), np.zeros(20_000, dtype=np.int64)), return_counts=True)
+    one = float((times * (times - 1.0)).sum()) / (20_000 * 19_999.0)
+    return float(meet.mean()), one**points
+
+
+def settings(n: float, least: float = 0.98, probes: int = 3, recall: float = 0.998) -> tuple[int, int, float]:
+    """(tables, points, scale) for n vectors: the fewest cell names and chance meetings a vector, at this chance of a pair to meet.
+
+    Both chances are tried out on the driver with a few thousand random pairs of the least cosine, at a cost that
+    doesn't hang on n.
+    """
+    best, how = np.inf, (8, 1, 4.0)
+    for points in range(1, 9):
+        for scale in (4.0, 5.0, 6.0):
+            meet, strangers = _odds(least, probes, points, scale)
+            tables = 1 + int(np.ceil(np.log(1 - recall) / np.log(1 - min(max(meet, 1e-3), 0.95))))
+            if tables * (1 + probes) >= best:  # wider scales and more points need more tables still
+                break
+            cost = tables * (1 + probes + (1 + 2 * probes) * strangers * n)
+            if cost < best:
+                best, how = cost, (tables, points, scale)
+        if scale == 4.0 and tables * (1 + probes) >= best:
+            break
+    return how
+
+
 _LATTICES: dict[tuple, Lattice] = {}
 
 
@@ -96,7 +145,7 @@ def _vectors(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
 
 def _codes(vectors: list[np.ndarray], labels: np.ndarray, how: tuple) -> tuple[list[np.ndarray], np.ndarray]:
     """Unit vectors and their cells, whatever mix of lengths comes."""
-    tables, probes = how[0], how[1]
+    tables, probes, *_ = how
     codes, units = np.empty((len(vectors), tables, 1 + probes), dtype=np.int64), [None] * len(vectors)
     dims = np.array([len(v) for v in vectors])
     for dim in np.unique(dims):
@@ -184,23 +233,22 @@ def link_vectors(
     vector_col: str = "embedding",
     label_col: str = "label",
     least: float = 0.98,
-    tables: int = 8,
     probes: int = 3,
-    scale: float = 9.0,
+    how: tuple[int, int, float] | None = None,
     seed: int = 8,
     block: int = 4096,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors.
 
-    Every row is indexed. Vectors link when their labels and lengths are equal, they meet in a cell, and their cosine in
+    Every row is indexed. Vectors link when their labels and lengths are equal, they meet in a cell (see ``settings`` for the chance), and their cosine in
     double precision is at least `least`. n_links counts other rows linked directly; component_id is the smallest id
     reachable; kept says that it is the row's own. A row whose id or label is null, or whose vector is null, empty, zero or
     holds a null or non-finite number, links with nothing (a null id has a null component and isn't kept). Equal vectors
     of one label link with each other. Rows that repeat an id count as rows and share its component. Further columns are
     not read. An empty table gives an empty result.
-    scale sets the width of cells: more of it for more vectors, along with more tables.
+    how is (tables, points, scale); without it ``settings`` chooses them by the number of distinct vectors of a label that
+    a vector of that label has beside it on average. Vectors of any length are projected whole.
     """
-    how = (tables, probes, scale, seed)
     v = F.col(vector_col).cast("array<double>")
     sound = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     sound = F.coalesce(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & sound, F.lit(False))
@@ -208,6 +256,11 @@ def link_vectors(
     key = [F.xxhash64(F.lit(1), "embedding").alias("h1"), F.xxhash64(F.lit(2), "embedding").alias("h2")]
     rows = own.where("sound").select("vec_id", "label", "embedding", *key)
     reps = written(rows.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep_id"), F.count("*").alias("times"), F.first("embedding").alias("embedding")).withColumn("rep", F.monotonically_increasing_id()), "vectors")
+    if how is None:
+        labels = reps.groupBy("label").agg(F.count("*").cast("double").alias("n"))
+        n = labels.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0]  # one number
+        how = settings(n or 1.0, least, probes)
+    how = (how[0], probes, *how[1:], seed)
     placed = written(reps.select("rep", "label", "embedding").mapInArrow(lambda it: _place(it, how), "cell long, rep long, own boolean"), "cells")
     parts = placed.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("own").alias("owners")).where("n > 1 and owners > 0").select("cell", F.ceil(F.col("n") / block).cast("int").alias("parts"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))

@@ -76,7 +76,7 @@ def test_sql(spark, same):
     vectors = cloud(3, 120)
     vectors[5], vectors[6], vectors[7] = None, [], [0.0] * 64
     f = frame(spark, list(range(120)), vectors, [None if i == 9 else i % 2 for i in range(120)])
-    same(ed.link_vectors(f, tables=16), ed.ORACLE["op10_embedding_dedup"], embeddings=f)
+    same(ed.link_vectors(f, how=(16, 1, 9.0)), ed.ORACLE["op10_embedding_dedup"], embeddings=f)
 
 
 def test_empty(spark):
@@ -94,3 +94,32 @@ def test_lattice():
     for step in roots:  # no neighbouring point is nearer
         assert (((x - p) ** 2).sum(axis=1) <= ((x - p - step) ** 2).sum(axis=1) + 1e-9).all()
     assert (ed.decode_e8(p) == p).all()
+
+
+@pytest.mark.parametrize(("dim", "n"), [(64, 5_000), (64, 20_000), (64, 80_000), (64, 160_000), (768, 5_000)])
+def test_work_a_vector_stays_flat(dim, n):
+    """Of random vectors few meet, however many there are, and pairs at the bound still do."""
+    tables, points, scale = how = ed.settings(n)
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, dim), dtype=np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a = x[:1000].astype(np.float64)
+    y = rng.standard_normal(a.shape)
+    y -= (a * y).sum(axis=1, keepdims=True) * a
+    c = rng.uniform(0.98, 0.99, (len(a), 1))
+    y = c * a + np.sqrt(1 - c * c) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    lattice = ed.Lattice(dim, tables, 3, points, scale, 8)
+    cells, others = lattice.cells(x, np.zeros(n, dtype=np.int64)), lattice.cells(y, np.zeros(len(y), dtype=np.int64))
+    near = cells[:1000]
+    assert ((near == others[:, :, :1]).any(axis=2) | (others == near[:, :, :1]).any(axis=2)).any(axis=1).mean() >= 0.98
+    met = 0
+    for t in range(tables):
+        own, names = np.sort(cells[:, t, 0]), cells[:, t].ravel()
+        met += int((np.searchsorted(own, names, side="right") - np.searchsorted(own, names)).sum()) - n
+    assert met / n < 6, how
+
+
+def test_settings_grow_with_the_logarithm():
+    names = [ed.settings(10.0**k)[0] for k in range(2, 13)]
+    assert names == sorted(names) and names[-1] < 60
+    assert ed.settings(0.0)[0] <= ed.settings(100.0)[0]

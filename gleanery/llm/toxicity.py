@@ -1,8 +1,9 @@
 """Toxicity by cumulative-link ordinal regression over sparse word features.
 
 P(grade >= k) = logistic(w.x - theta_k): the thresholds theta_1 < theta_2 < ... share the weights w, and a document's
-expected severity is the sum of these chances. Features are 1 + log(count) of words and of words' first five bytes,
-chosen on the labelled sample.
+expected severity is its expected grade by these chances. The grades are the labels' own, however many there are; labels
+of 0 and 1 have one threshold. Features are 1 + log(count) of words and of words' first five bytes, chosen on the
+labelled sample.
 """
 
 from __future__ import annotations
@@ -43,16 +44,30 @@ def counts_of(text: bytes | None, words: dict[bytes, int]) -> dict[int, int]:
 
 @dataclass
 class CumulativeLink:
-    """Weights that all thresholds share, and the rising thresholds."""
+    """Weights that all thresholds share, the rising thresholds, and the rising grades that they part."""
 
     words: dict[bytes, int]
     weights: np.ndarray
     thresholds: np.ndarray
+    grades: np.ndarray
 
     def chances(self, eta: np.ndarray) -> np.ndarray:
-        """(rows, thresholds): the chance of at least each grade from 1."""
+        """(rows, thresholds): the chance of at least each grade from the second."""
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - np.asarray(eta)[:, None], -60, 60)))
 
+    def at_least(self, p: np.ndarray, grade: int) -> np.ndarray:
+        """The chance of at least a grade, from the chances."""
+        k = int(np.searchsorted(self.grades, grade))
+        return np.ones(len(p)) if k == 0 else np.zeros(len(p)) if k == len(self.grades) else p[:, k - 1]
+
+    def severity(self, p: np.ndarray) -> np.ndarray:
+        """The expected grade, from the chances."""
+        return self.grades[0] + p @ np.diff(self.grades).astype(float)
+
+    def likely(self, p: np.ndarray) -> np.ndarray:
+        """The highest grade that is at least as likely as not to be reached, from the chances."""
+        return self.grades[(p >= 0.5).sum(axis=1)]
+
     def eta(self, text: bytes | None) -> float:
         return float(sum(self.weights[i] * (1 + np.log(n)) for i, n in sorted(counts_of(text, self.words).items())))
 
@@ -73,8 +88,7 @@ def fit_cumulative_link(rows: list[tuple[np.ndarray, np.ndarray]], d: int, grade
     """
     k, n = n_grades - 1, len(grades)
     if n == 0 or grades.min() == grades.max():
-        lowest = n == 0 or grades.min() == 0
-        return np.zeros(d), np.arange(k) + (30.0 if lowest else -30.0 - k)
+        return np.zeros(d), np.arange(k) + (30.0 if n == 0 or grades.min() == 0 else -30.0 - k)
     order = sorted(range(n), key=lambda i: len(rows[i][0]) == 0)  # rows without features come last and need no products
     rows, grades = [rows[i] for i in order], grades[order]
     full_rows = sum(len(at) > 0 for at, _ in rows)
@@ -135,71 +149,79 @@ def fit_cumulative_link(rows: list[tuple[np.ndarray, np.ndarray]], d: int, grade
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        words, toxic = [], []
-        for text, y in zip(b.column("text"), b.column("toxic").to_pylist(), strict=True):
+        words, grades = [], []
+        for text, y in zip(b.column("text"), b.column("grade").to_pylist(), strict=True):
             own = set(words_of(text.as_py()))
             own |= {w[:_STEM] + b"*" for w in own}
             words += own
-            toxic += [y] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(toxic, pa.int32())], ["word", "toxic"])
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, features: int = 1024, least_docs: int = 3, least_share: float = 0.001, least_z: float = 5.0, id_col: str = "doc_id", text_col: str = "text") -> CumulativeLink:
-    """A model of grades 0, 1 and 2 from labels (doc_id, toxic 0 or 1) on at most sample_rows labelled documents.
-
-    The sample is the labelled ids with the smallest hashes. Words are features if at least least_docs and the
-    share least_share of sampled documents hold them and their rates in toxic and other documents differ by least_z standard errors; the `features` strongest
-    stay. A toxic document's grade is 2 if it has more words that speak for toxicity than the median toxic document,
-    else 1: the labels have no grades of their own. Null labels and ids are left out; of labels that
-    disagree on an id the larger counts. Without toxic documents every severity is near 0.
+            grades += [y] * len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(grades, pa.int64())], ["word", "grade"])
+
+
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    sample_rows: int = 8000,
+    features: int = 1024,
+    least_docs: int = 3,
+    least_share: float = 0.001,
+    least_z: float = 5.0,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    grade_col: str = "toxic",
+) -> CumulativeLink:
+    """A model of the grades in labels (id_col, grade_col: whole numbers, any and any number of them) on at most sample_rows documents.
+
+    The sample is the labelled ids with the smallest hashes; each is one document, the one with the smallest text where
+    rows repeat an id. Words are features if at least least_docs and the share least_share of sampled documents hold
+    them and the mean grade of those differs from the sample's by least_z standard errors (for two grades: the usual
+    comparison of two rates); the `features` strongest stay. Null labels and ids are left out; of labels that disagree
+    on an id the larger counts; labelled ids without a document too. A grade that no sampled document has doesn't
+    exist for the model; with one grade alone every document has it, without any every document has grade 0. Null and
+    empty texts have no words; long texts count whole.
     """
-    known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(id_col).agg(F.max("toxic").cast("int").alias("toxic"))
+    known = labels.where(F.col(id_col).isNotNull() & F.col(grade_col).isNotNull()).groupBy(id_col).agg(F.max(grade_col).cast("long").alias("grade"))
     sample = known.orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
     # The sample has sample_rows rows at most.
-    rows = written(docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(sample), id_col), "sample")
-    n_all = rows.groupBy("toxic").count().collect()
-    n = {r["toxic"]: r["count"] for r in n_all}
-    n1, n0 = n.get(1, 0), n.get(0, 0)
-    counts = rows.select("text", "toxic").mapInArrow(_distinct, "word binary, toxic int").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("c"))
-    pooled = F.col("c") / max(n0 + n1, 1)
-    z = (F.col("t") / max(n1, 1) - (F.col("c") - F.col("t")) / max(n0, 1)) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1 / max(n1, 1) + 1 / max(n0, 1)))
-    chosen = counts.where(F.col("c") >= max(least_docs, least_share * (n0 + n1))).withColumn("z", z).where(F.abs("z") >= least_z).orderBy(F.desc(F.abs("z")), "word").limit(features).collect() if n1 and n0 else []
+    found = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(sample), id_col).groupBy(id_col, "grade").agg(F.min("text").alias("text"))
+    rows = written(found.select("grade", F.col("text").cast("binary").alias("text")), "sample")
+    n, mean, spread, *_ = rows.agg(F.count("*"), F.avg("grade"), F.stddev_pop("grade")).first()
+    levels = np.array(sorted(r["grade"] for r in rows.select("grade").distinct().collect()) or [0], dtype=np.int64)
+    chosen = []
+    if spread:
+        counts = rows.select("text", "grade").mapInArrow(_distinct, "word binary, grade long").groupBy("word").agg(F.sum("grade").alias("t"), F.count("*").alias("c"))
+        z = (F.col("t") / F.col("c") - mean) / (spread * F.sqrt(F.greatest(1 / F.col("c") - 1 / n, F.lit(1e-12))))
+        chosen = counts.where(F.col("c") >= max(least_docs, least_share * n)).withColumn("z", z).where(F.abs("z") >= least_z).orderBy(F.desc(F.abs("z")), "word").limit(features).collect()
     words = {bytes(r["word"]): i for i, r in enumerate(chosen)}
-    for_toxic = np.array([r["z"] > 0 for r in chosen], dtype=bool)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for text in b.column("text"):
-                c = counts_of(text.as_py(), words)
-                out.append((sorted(c), [c[i] for i in sorted(c)], len(words_of(text.as_py()))))
-            idx, cnt, size = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(idx, pa.list_(pa.int32())), pa.array(cnt, pa.list_(pa.int32())), pa.array(size, pa.int32())], ["toxic", "at", "n", "size"])
-
-    got = rows.select("text", "toxic").mapInArrow(featurise, "toxic int, at array<int>, n array<int>, size int").collect()
-    got.sort(key=lambda r: (r["toxic"], r["size"], r["at"], r["n"]))
+            counted = [counts_of(text.as_py(), words) for text in b.column("text")]
+            idx, cnt = [sorted(c) for c in counted], [[c[i] for i in sorted(c)] for c in counted]
+            yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array(idx, pa.list_(pa.int32())), pa.array(cnt, pa.list_(pa.int32()))], ["grade", "at", "n"])
+
+    got = rows.select("text", "grade").mapInArrow(featurise, "grade long, at array<int>, n array<int>").collect()
+    got.sort(key=lambda r: (r["grade"], r["at"], r["n"]))
     x = [(np.array(r["at"], dtype=np.int64), 1 + np.log(r["n"])) for r in got]
-    speaking = np.array([sum(c for k, c in zip(r["at"], r["n"], strict=True) if for_toxic[k]) for r in got])
-    toxic = np.array([r["toxic"] for r in got], dtype=np.int64)
-    middle = np.median(speaking[toxic == 1]) if (toxic == 1).any() else 0.0
-    grades = np.where(toxic == 1, 1 + (speaking > middle), 0).astype(np.int64)
-    weights, thresholds = fit_cumulative_link(x, len(words), grades, 3)
-    return CumulativeLink(words, weights, thresholds)
+    grades = np.searchsorted(levels, np.array([r["grade"] for r in got], dtype=np.int64))
+    weights, thresholds = fit_cumulative_link(x, len(words), grades, len(levels))
+    return CumulativeLink(words, weights, thresholds, levels)
 
 
-def score(docs: DataFrame, model: CumulativeLink, id_col: str = "doc_id", text_col: str = "text", reject: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: CumulativeLink, id_col: str = "doc_id", text_col: str = "text", toxic_grade: int = 1, reject: float = 0.5) -> DataFrame:
     """A row for each row of docs: doc_id, grade, severity, toxic.
 
-    severity is the expected grade, grade the number of grades at least as likely as not, toxic that grade 1 or more has
-    a chance of `reject` or more. A null or empty text has no features and the severity of such. Repeated rows and null ids are
-    scored like any other row. Further columns are not read. An empty table gives an empty result.
+    severity is the expected grade, grade the highest one at least as likely as not to be reached, toxic that toxic_grade
+    or more has a chance of `reject` or more. A null or empty text has no features and the severity of such; texts of any
+    length are read whole. Repeated rows and null ids are scored like any other row. Further columns are not read. An
+    empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = model.chances(np.array([model.eta(t.as_py()) for t in b.column("text")], dtype=float))
-            grade = (p >= 0.5).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(grade, pa.int32()), pa.array(p.sum(axis=1)), pa.array(p[:, 0] >= reject)], ["doc_id", "grade", "severity", "toxic"])
+            columns = [b.column("doc_id"), pa.array(model.likely(p), pa.int32()), pa.array(model.severity(p)), pa.array(model.at_least(p, toxic_grade) >= reject)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "grade", "severity", "toxic"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return own.mapInArrow(run, "doc_id long, grade int, severity double, toxic boolean")
@@ -212,14 +234,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model doesn't call toxic."""
+    """Documents that the model doesn't call toxic.
+
+    Rows with null or empty texts have no features, so they stay unless most documents are toxic; repeated rows stay or
+    go together; texts of any length are read whole. Labels of documents that are no longer in docs are not used.
+    """
     model = fit(docs, table(spark, sf_dir, "labels"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = b.column("text").cast(pa.binary())
             p = model.chances(np.array([model.eta(t.as_py()) for t in text], dtype=float))
-            yield b.filter(pa.array(p[:, 0] < 0.5))
+            yield b.filter(pa.array(model.at_least(p, 1) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
 

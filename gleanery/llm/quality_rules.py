@@ -51,21 +51,44 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "host", *_COUNTS])
 
 
-def host_rates(rows: DataFrame, host: str = "host", failed: str = "failed", least_hosts: int = 2) -> DataFrame:
-    """(host, n_docs, n_failed, rate): each host's failure rate, shrunk towards a beta prior.
-
-    The prior has the mean and the variance of the hosts' own rates (method of moments), its weight held between 1 and
-    10,000 documents; with fewer than least_hosts hosts it is Beta(1, 1). Rows without a host are left out.
-    The counts are summed before the shuffle, so one host with a third of all rows is no heavier than another.
+def beta_prior(hosts: DataFrame) -> tuple[float, float]:
+    """(mean, weight) of the beta distribution that hosts (n_docs, n_failed) draw their failure rates from.
+
+    A host's own rate strays from its true one by sampling alone, the more the fewer its documents. So the spread of
+    true rates is what the spread between hosts has beyond the spread within them (analysis of variance for proportions
+    with unequal numbers): rho = (between - within) / (between + (n0 - 1) within), and weight = 1 / rho - 1 documents,
+    held between 0.01 and 10,000. The mean weighs a host by n / (1 + (n - 1) rho), as far as its documents tell about
+    hosts, so no host decides it by size. Where hosts don't differ beyond chance, or no host has two documents, so that
+    nothing can be told apart, they are pooled: the weight is 10,000. Fewer than two hosts, or none or only failures,
+    give the even prior of mean 0.5 and weight 2. Two aggregates of one row each, whatever the number of hosts.
+    """
+    rate = F.col("n_failed") / F.col("n_docs")
+    k, docs, failed, squares, inner, fails = hosts.agg(
+        F.count("*"), F.sum("n_docs"), F.sum("n_failed"), F.sum(F.col("n_docs").cast("double") * F.col("n_docs")), F.sum(F.col("n_docs") * rate * (1 - rate)), F.sum(F.col("n_failed") * rate)
+    ).first()
+    if k < 2 or not 0 < failed < docs:
+        return 0.5, 2.0
+    rho = 0.0
+    if docs > k:
+        between = max(fails - failed * failed / docs, 0.0) / (k - 1)
+        within = inner / (docs - k)
+        n0 = (docs - squares / docs) / (k - 1)
+        rho = max((between - within) / (between + (n0 - 1) * within), 0.0)
+    share = F.col("n_docs") / (1 + (F.col("n_docs") - 1) * rho)
+    mean = hosts.agg(F.sum(share * rate) / F.sum(share)).first()[0]
+    return mean, min(max(1 / rho - 1, 0.01), 10_000.0) if rho > 0 else 10_000.0
+
+
+def host_rates(rows: DataFrame, host: str = "host", failed: str = "failed") -> DataFrame:
+    """(host, n_docs, n_failed, rate): each host's failure rate, shrunk towards ``beta_prior``.
+
+    Rows without a host are left out. The counts are summed before the shuffle, so one host with a third of all rows is
+    no heavier than another.
     """
     hosts = rows.where(F.col(host).isNotNull()).groupBy(host).agg(F.count("*").alias("n_docs"), F.sum(F.col(failed).cast("long")).alias("n_failed"))
-    own = F.col("n_failed") / F.col("n_docs")
-    n, mean, var = hosts.agg(F.count("*"), F.avg(own), F.var_pop(own)).first()  # one row of three numbers
-    alpha = beta = 1.0
-    if n >= least_hosts and 0 < mean < 1:
-        weight = min(max(mean * (1 - mean) / var - 1, 1.0), 10_000.0) if var else 10_000.0
-        alpha, beta = mean * weight, (1 - mean) * weight
-    return hosts.withColumn("rate", (F.col("n_failed") + alpha) / (F.col("n_docs") + alpha + beta))
+    hosts = written(hosts, "host-counts")
+    mean, weight = beta_prior(hosts)
+    return hosts.withColumn("rate", (F.col("n_failed") + mean * weight) / (F.col("n_docs") + weight))
 
 
 def judge_documents(
@@ -85,7 +108,7 @@ def judge_documents(
     more symbols than symbol_percent of the word characters, or more than dup_lines_per_100 repeated lines to 100 words.
     A host whose shrunk rate of rule_failed is over host_limit fails as a whole.
     kept: not base_failed and the host does not fail. A null or empty text has no words and so fails; a null host has no
-    verdict (host_rate null) and fails nobody. Repeated rows and null ids are judged like any other row. Further columns
+    verdict (host_rate null) and fails nobody. Texts of any length are counted whole. Repeated rows and null ids are judged like any other row. Further columns
     are not read. An empty table gives an empty result.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("binary").alias("text"))
@@ -121,9 +144,11 @@ c as materialized (select w.row, doc_id, host, len(ws)::bigint as n_words, lengt
 f as materialized (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
   n_words < 10 or 100 * n_repeat_words > 20 * n_words or 100 * n_symbols > 10 * word_chars or 100 * n_dup_lines > 5 * n_words as rule_failed from c),
 h as materialized (select host, count(*) as n_docs, sum(rule_failed::int) as n_failed from f where host is not null group by host),
-m as (select count(*) as n, avg(n_failed / n_docs::double) as mean, var_pop(n_failed / n_docs::double) as var from h),
-p as (select case when n >= 2 and mean > 0 and mean < 1 then mean else 0.5 end as mean,
-  case when n >= 2 and mean > 0 and mean < 1 then case when var > 0 then least(greatest(mean * (1 - mean) / var - 1, 1), 10000) else 10000 end else 2 end as weight from m),
+m as (select count(*) as k, sum(n_docs) as docs, sum(n_failed) as failed, sum(n_docs * n_docs::double) as squares,
+  sum(n_failed * (1 - n_failed / n_docs::double)) / (docs - k) as within, (sum(n_failed * n_failed / n_docs::double) - failed * failed / docs::double) / (k - 1) as between from h),
+o as (select *, k >= 2 and failed > 0 and failed < docs as told, case when docs > k then greatest((between - within) / (between + ((docs - squares / docs) / (k - 1) - 1) * within), 0) else 0 end as rho from m),
+q as (select sum(n_failed / (1 + (n_docs - 1) * rho)) / sum(n_docs / (1 + (n_docs - 1) * rho)) as mean from h, o where told),
+p as (select case when told then mean else 0.5 end as mean, case when not told then 2 when rho > 0 then least(greatest(1 / rho - 1, 0.01), 10000) else 10000 end as weight from o, q),
 v as (select host, (n_failed + mean * weight) / (n_docs + weight) as rate from h, p)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rule_failed,
   not base_failed and not coalesce(rate > 0.5, false) as kept

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -15,7 +17,8 @@ def brute(t):
     t = t or ""
     w = WORD.findall(t)
     grams = [tuple(w[i : i + 5]) for i in range(max(0, len(w) - 4))]
-    hit = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(5)} if len(grams) < 3000 else set()
+    times = Counter(grams)
+    hit = {i + k for i, g in enumerate(grams) if times[g] > 1 for k in range(5)}
     lines, seen, dup = t.split("\n"), set(), 0
     for x in lines:
         if WORD.search(x):
@@ -28,8 +31,7 @@ def test_counts_against_brute_force(spark, docs):
     got = {r.doc_id: r for r in qr.judge_documents(docs(list(enumerate(TEXTS)))).collect()}
     for i, t in enumerate(TEXTS):
         r, want = got[i], brute(t)
-        if len(t or "") < 100_000:
-            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, t
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, (t or '')[:80]
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
 
 
@@ -59,3 +61,31 @@ def test_prior_at_its_edges(spark, rates):
     rows = [(f"h{k}", i < f) for k, (f, n) in enumerate(rates) for i in range(n)]
     got = qr.host_rates(spark.createDataFrame(rows, "host string, failed boolean")).collect()
     assert len(got) == len(rates) and all(0 < r.rate < 1 for r in got)
+
+
+def rates_of(spark, hosts):
+    rows = [(f"h{k}", i < f) for k, (f, n) in enumerate(hosts) for i in range(n)]
+    return {r.host: r.rate for r in qr.host_rates(spark.createDataFrame(rows, "host string, failed boolean")).collect()}
+
+
+def test_many_hosts_of_one_document(spark):
+    """Their rates of 0 and 1 say nothing of how hosts differ: the large hosts do, and the small ones are drawn to the mean."""
+    rng = random.Random(7)
+    small = [(int(rng.random() < 0.1), 1) for _ in range(3000)]
+    large = [(sum(rng.random() < 0.1 for _ in range(200)), 200) for _ in range(20)]
+    rates = rates_of(spark, small + large)
+    assert all(0.05 < rates[f"h{k}"] < 0.2 for k in range(len(small)))
+    alone = rates_of(spark, small)
+    assert max(alone.values()) - min(alone.values()) < 0.01
+
+
+def test_prior_of_known_spread(spark):
+    """Hosts drawn from a beta distribution give back its mean and weight, though most have one or two documents."""
+    rng = random.Random(11)
+    sizes = [rng.choice((1, 1, 1, 2, 3, 5, 8, 40)) for _ in range(6000)]
+    hosts = []
+    for n in sizes:
+        p = rng.betavariate(2.0, 6.0)
+        hosts.append((n, sum(rng.random() < p for _ in range(n))))
+    mean, weight = qr.beta_prior(spark.createDataFrame(hosts, "n_docs long, n_failed long"))
+    assert mean == pytest.approx(0.25, abs=0.02) and weight == pytest.approx(8, rel=0.2)

@@ -19,12 +19,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import table, whole_groups, written
+from gleanery.llm.token_counts import encoded_lengths
 
 _OUT = ["shard", "doc_id", "piece", "n_tokens", "source", "bin", "place"]
 
 
 def token_count(text: Column) -> Column:
-    """Words of a text between ASCII white space; 0 without one. A stand-in for an encoded length."""
+    """Words of a text between ASCII white space; 0 without one. """
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
     return F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"[\x20\x09-\x0D]+")))
 
@@ -88,6 +89,7 @@ def _pack(batches: Iterator[pa.RecordBatch], capacity: int, same_source: int) ->
 def pack(
     docs: DataFrame,
     tokens: Column | None = None,
+    vocabulary: str | None = None,
     cluster: Column | None = None,
     id_col: str = "doc_id",
     source_col: str = "source",
@@ -97,14 +99,15 @@ def pack(
 ) -> DataFrame:
     """(doc_id, piece, n_tokens, source, bin_id, place): a row for each piece of each document.
 
-    tokens defaults to the words of text, cluster to a hash of the whole text, so exact copies never share a bin. A
-    document without tokens is a piece of no length in some bin. A null source is a source of its own, null ids are packed
+    tokens defaults to the exact encoded length of text under vocabulary (see ``token_counts``), cluster to a hash of the
+    whole text, so exact copies never share a bin. A document without tokens (a null or empty text) is a piece of no
+    length in some bin; one of any length is cut into as many full bins as it fills. A null source is a source of its own, null ids are packed
     like any other; repeated rows are copies of each other. Ties go by id and piece. Further columns are not read.
     An empty table gives an empty result.
     """
-    tokens = token_count(F.col("text")) if tokens is None else tokens
     cluster = F.xxhash64("text") if cluster is None else cluster
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), tokens.cast("long").alias("n"), cluster.cast("long").alias("cluster"))
+    narrow = [F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), cluster.cast("long").alias("cluster")]
+    own = encoded_lengths(docs, vocabulary, carry=narrow).withColumnRenamed("length", "n") if tokens is None else docs.select(*narrow, tokens.cast("long").alias("n"))
     own = written(own, "lengths")
     full = (F.col("n") / capacity).cast("long")
     rest = F.col("n") - full * capacity
@@ -123,12 +126,12 @@ def pack(
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's pieces in bins of 2,048 words, at most four of a source and no two copies in a bin."""
+    """Every document's pieces in bins of 2,048 encoded tokens, at most four of a source and no two copies in a bin."""
     return pack(table(spark, sf_dir, "documents"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in bins, the last stage's result."""
+    """The pieces of all documents in bins, the last stage's result. Odd rows are packed as ``pack`` says."""
     return pack(docs)
 
 

@@ -3,6 +3,8 @@ from __future__ import annotations
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from gleanery.llm import secret_scan as ss
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -43,6 +45,29 @@ def test_ownership(spark, docs):
     assert (got[9].n_live, got[10].n_live, got[10].n_example) == (1, 0, 0)
 
 
+def test_repositories(spark, docs):
+    """One owner's key in many repositories is a live one in reuse; many owners of few repositories make no example."""
+    key, shared = "password=Zx81Qw77Kp02Lm", "password=Own3rOnly99x"
+    reused = [(i, key, "one", f"l{i}") for i in range(4)]
+    rows = reused + [(10 + i, shared, f"owner{i}", "en") for i in range(4)]
+    d = docs(rows)
+    got = {r.doc_id: r for r in ss.scan_secrets(d).collect()}
+    assert all((got[i].n_live, got[i].n_reused, got[i].n_example) == (0, 1, 0) for i in range(4))
+    assert all((got[10 + i].n_live, got[10 + i].n_reused, got[10 + i].n_example) == (0, 0, 1) for i in range(4))
+    few = {r.doc_id: r for r in ss.scan_secrets(d, repo=F.lit("mono")).collect()}
+    assert all((r.n_live, r.n_reused, r.n_example) == (1, 0, 0) for r in few.values())
+    assert {r.text for r in ss.redact(d).collect()} == {"[SECRET]", shared}
+
+
+def test_very_many_matches(spark, docs):
+    """As many matches as a long text can hold: spans in any number are the brute force's, and their cost stays in proportion."""
+    texts = [f"token={i:08d}aZ " * n for i, n in ((1, 63), (2, 64), (3, 65), (4, 129), (5, 30_000))] + ["token=short " * 200 + "password=longenough99"]
+    got = {r.doc_id: r for r in ss.scan_secrets(docs(list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        want = base_spans(t)
+        assert got[i].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest() and got[i].n_assign == len(want)
+
+
 def test_redaction(spark, docs):
     shared = "password=Zx81Qw77Kp02Lm"
     rows = [(i, f"a {shared} b", f"owner{i}") for i in range(4)]

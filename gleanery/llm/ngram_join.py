@@ -12,8 +12,8 @@ Plan of ``link_documents``:
 4. Blocks are searched with DivideSkip (Li, Lu, Lu 2008) over inverted lists of whole sets: the longest lists are left
    out of the heap merge and binary-probed for what the merge of the short ones finds; overlaps are exact. A class that
    was linked leaves the lists, so a group of copies takes about one query and not all its pairs.
-   A block over `block_docs` classes or `block_shingles` shingles is dealt into salted parts. Each part meets itself and the
-   first part; what that leaves outside the block's largest component, its strays, then meets every part. Two classes
+   A block over `block_docs` classes or `block_shingles` shingles is dealt into salted parts. Each part meets the first one
+   and so itself; what that leaves outside the block's largest component, its strays, then meets every part. Two classes
    that are in different components are never both in the largest, so no pair is lost, memory stays bounded, and a
    group of copies costs its parts times one and its strays' parts, not the square of its parts.
 5. Links (a spanning set of them) go to ``connected_components``.
@@ -40,6 +40,8 @@ from gleanery.sources.scratch import new_path
 
 #: Sketch counters travel in rows of this many.
 _CHUNK = 1 << 16
+#: Counters of this many partitions go to one sum at a time.
+_LANE = 512
 
 
 def required(n: int, percent: int = 80) -> int:
@@ -71,17 +73,33 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int, bits: int) -> Iterator[
     if counts.any():
         rows = counts.reshape(-1, min(_CHUNK, len(counts)))
         none = pa.nulls(len(rows)).cast(pa.int64())
-        packed = [zlib.compress(np.ascontiguousarray(r.view(np.uint8).reshape(-1, 4).T).tobytes(), 1) for r in rows]
+        packed = [_packed(r) for r in rows]
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(len(rows)), pa.int32()), pa.array(packed, pa.binary())], names)
 
 
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The logarithms of the counters' sums, a row for each chunk: two bytes a counter, whatever the input."""
+def _packed(x: np.ndarray) -> bytes:
+    """Counters as bytes, the bytes of one place together; sums beyond four bytes stay at the largest number."""
+    return zlib.compress(np.ascontiguousarray(np.minimum(x, 2**32 - 1).astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, b in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
             x = np.ascontiguousarray(np.frombuffer(zlib.decompress(b), dtype=np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
             sums[k] = sums[k] + x if k in sums else x
+    return sums
+
+
+def _add_some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counters' sums over a lane of tasks, a row for each chunk."""
+    sums = _sums(batches)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_packed(x) for x in sums.values()], pa.binary())], ["chunk", "counts"])
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The logarithms of the counters' sums, a row for each chunk: two bytes a counter, whatever the input."""
+    sums = _sums(batches)
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(np.log2(x + 1.0) * 1024).astype(np.uint16).tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
 
 
@@ -351,7 +369,11 @@ def _linked(
     path = new_path(spark, "signatures")
     signed.write.parquet(path)
     signed = spark.read.schema(signed.schema).parquet(path)
-    sketch = signed.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(_add_up, "chunk int, counts binary")
+    sketch = signed.where("chunk is not null").select("chunk", "counts")
+    if (lanes := sketch.rdd.getNumPartitions() // _LANE) > 1:  # many tasks' counters are summed in a tree
+        lane = F.pmod(F.spark_partition_id(), F.lit(lanes)).alias("lane")
+        sketch = sketch.select("chunk", "counts", lane).repartition("chunk", "lane").drop("lane").mapInArrow(_add_some, "chunk int, counts binary")
+    sketch = sketch.repartition("chunk").mapInArrow(_add_up, "chunk int, counts binary")
     counts = np.zeros(1 << sketch_bits, dtype=np.uint16)  # what the driver gets has this size whatever the input
     for chunk, sums in sketch.collect():
         x = np.frombuffer(sums, dtype=np.uint16)
@@ -376,7 +398,8 @@ def _linked(
 
     parts = parts_of(members)
     last = F.col("parts") - 1
-    others = F.when(F.col("mine") == 0, F.sequence(F.lit(0), last)).otherwise(F.array(F.lit(0), F.col("mine")))
+    # Block (0, p) holds all of both parts, so no part has a block of its own unless it is the only one.
+    others = F.when((F.col("mine") == 0) & (F.col("parts") > 1), F.sequence(F.lit(1), last)).otherwise(F.array(F.lit(0)))
     members = members.join(parts, "leader").withColumn("mine", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")).join(classes, "sig")
     dealt = members.select("rep", "sig", "leader", "parts", "mine", F.explode(others).alias("other"))
     block = F.when(F.col("parts") == 1, F.col("leader")).otherwise(F.xxhash64("leader", F.least("mine", "other"), F.greatest("mine", "other")))

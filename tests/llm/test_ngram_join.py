@@ -124,3 +124,13 @@ def test_windows_don_t_cross_texts():
     assert (sets[0] == sets[1]).all()
     sliced = pa.array([b"zz zz", b"a b c d e f", None, b"q"], pa.binary()).slice(1, 2)
     assert [len(h) for _, h in word_windows(sliced)] == [2, 0]
+
+
+def test_sketch_in_a_tree(spark, docs, monkeypatch):
+    """Counters summed lane by lane give the components that one sum gives."""
+    texts = corpus(7, 90)
+    d = docs(list(enumerate(texts))).repartition(6)
+    want = sorted(map(tuple, nj.link_documents(d, sketch_bits=12).collect()))
+    monkeypatch.setattr(nj, "_LANE", 2)
+    assert sorted(map(tuple, nj.link_documents(d, sketch_bits=12).collect())) == want
+    assert nj._packed(np.array([1, 2**40], dtype=np.int64)) == nj._packed(np.array([1, 2**32 - 1], dtype=np.int64))

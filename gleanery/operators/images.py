@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleanery.sources.scratch import written
+
 
 def priority(source: Column, table: dict[str, int], other: int = 30) -> Column:
     out = F.lit(other)
@@ -57,36 +61,35 @@ def neighbours(images: DataFrame, keys: list[str], tie: str, hash_col: str, unde
     return met.where((d < under) & (first == F.col("a.band_"))).select(*(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.id_").alias(tie), F.col("b.id_").alias("other"), d.alias("distance"))
 
 
-def pick_distinct(images: DataFrame, keys: list[str], score_col: str, tie: str, hash_col: str, most: int = 2, least_distance: int = 5, top: int = 64) -> DataFrame:
-    """(keys, tie, n): the best images of each group that differ enough from each better one that was picked.
-
-    The `top` best of a group are looked at before anything is gathered, so groups stay bounded; a group whose first `top`
-    are near-duplicates of fewer than `most` images is looked at whole.
-    """
-    order = Window.partitionBy(*keys).orderBy(F.desc(score_col), tie)
-    ranked = images.select(*keys, tie, hash_col, F.row_number().over(order).alias("rank_"))
-    head = _picked(ranked.where(F.col("rank_") <= top), keys, tie, hash_col, most, least_distance)
-    short = ranked.groupBy(*keys).agg(F.count("*").alias("size_")).where(F.col("size_") > top).join(head.groupBy(*keys).agg(F.max("n").alias("got_")), keys).where(F.col("got_") < most).select(*keys)
-    again = _picked(ranked.join(short, keys, "left_semi"), keys, tie, hash_col, most, least_distance)
-    return head.join(short, keys, "left_anti").union(again)
-
+def _met(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the one row of others that has the same keys, nulls being equal; keys of others come prefixed with k_."""
+    same = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys]
+    return rows.join(others.select(*(F.col(k).alias(f"k_{k}") for k in keys), *(c for c in others.columns if c not in keys)), same, "left").drop(*(f"k_{k}" for k in keys))
 
-def _picked(ranked: DataFrame, keys: list[str], tie: str, hash_col: str, most: int, least_distance: int) -> DataFrame:
-    items = F.array_sort(F.collect_list(F.struct("rank_", F.col(tie).alias("id"), F.col(hash_col).alias("hash"))))
-    kind = f"array<struct<rank_:int,id:{dict(ranked.dtypes)[tie]},hash:{dict(ranked.dtypes)[hash_col]}>>"
 
-    def step(acc: Column, x: Column) -> Column:
-        clear = ~F.exists(acc, lambda y: distance(x["hash"], y["hash"]) < least_distance)
-        return F.when((F.size(acc) < most) & clear, F.concat(acc, F.array(x))).otherwise(acc)
+def pick_distinct(images: DataFrame, keys: list[str], score_col: str, tie: str, hash_col: str, most: int = 2, least_distance: int = 5) -> DataFrame:
+    """(keys, tie, n): the best images of each group that differ enough from each better one that was picked.
 
-    picked = F.aggregate(items, F.array().cast(kind), step)
-    return ranked.groupBy(*keys).agg(picked.alias("p_")).select(*keys, F.posexplode("p_").alias("n", "x")).select(*keys, F.col("x.id").alias(tie), (F.col("n") + 1).alias("n"))
+    Picks are made round by round: the best of what is left, an aggregate that is summed before the shuffle; then what is
+    too near to it goes. So no group is ever gathered, however many near-duplicates it begins with. A missing score
+    is the lowest, a missing hash is far from all.
+    """
+    left = images.select(*keys, F.struct(F.col(score_col).isNull().alias("a"), (-F.col(score_col)).alias("b"), F.col(tie).alias("id"), F.col(hash_col).alias("hash")).alias("x_"))
+    picks = []
+    for n in range(1, most + 1):
+        best = written(left.groupBy(*keys).agg(F.min("x_").alias("best_")), "picks")
+        picks.append(best.select(*keys, F.col("best_.id").alias(tie), F.lit(n).alias("n")))
+        left = _met(left, best, keys).where(((F.col("x_.id") != F.col("best_.id")) | F.col("x_.hash").isNotNull()) & (distance(F.col("x_.hash"), F.col("best_.hash")) >= least_distance)).drop("best_")
+    return reduce(DataFrame.union, picks)
 
 
 def url_owners(rows: DataFrame, url: str, owner: str, order: list[str]) -> DataFrame:
-    """rows with `first_owner` of each URL and `duplicate` where that is another."""
-    w = Window.partitionBy(url).orderBy(*order)
-    return rows.withColumn("first_owner", F.first(owner).over(w)).withColumn("duplicate", F.col("first_owner") != F.col(owner))
+    """rows with `first_owner` of each URL and `duplicate` where that is another.
+
+    The first owner is an aggregate, so a URL with a third of all rows is summed before the shuffle and met as one row.
+    """
+    first = rows.groupBy(url).agg(F.min_by(owner, F.struct(*order)).alias("first_owner"))
+    return _met(rows, first, [url]).withColumn("duplicate", F.col("first_owner") != F.col(owner))
 
 
 def prefix_distinct(rows: DataFrame, data: str, keys: list[str], order: list[str], length: int = 120, most: int = 2) -> DataFrame:

@@ -17,16 +17,23 @@ FREE_TEXT = ("ingredients", "allergens", "may_contain", "manufacturer_name", "ma
 TRANSLATED = ("allergens", "may_contain")
 
 
-def _run(rows: DataFrame, model: Model, inputs: list[str], outputs: tuple[str, ...], keep_old: bool) -> DataFrame:
-    """rows with the outputs replaced by what the model gives; where it gives nothing, or fails, the old value stays."""
+def _run(rows: DataFrame, model: Model, inputs: list[str], outputs: tuple[str, ...], keep_old: bool, error: str | None) -> DataFrame:
+    """rows with the outputs replaced by what the model gives; where it gives nothing, or fails, the old value stays.
+
+    error names a text column that gets what went wrong, for each row of a batch that the model failed on.
+    """
+    if error and error not in rows.columns:
+        rows = rows.withColumn(error, F.lit(None).cast("string"))
     names = rows.columns
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             try:
                 said = model(b[inputs])
-            except Exception:  # noqa: BLE001  a model that fails must not fail the job
+            except Exception as e:  # noqa: BLE001  a model that fails must not fail the job
                 said = pd.DataFrame(index=b.index)
+                if error:
+                    b[error] = f"{type(e).__name__}: {e}"
             for c in outputs:
                 if c in said:
                     new = said[c].where(said[c].notna() & (said[c] != ""), b[c])
@@ -36,7 +43,7 @@ def _run(rows: DataFrame, model: Model, inputs: list[str], outputs: tuple[str, .
     return rows.mapInPandas(each, rows.schema)
 
 
-def fill_missing(rows: DataFrame, text: str, model: Model | None = None, fields: tuple[str, ...] = FREE_TEXT, least: int = 200) -> DataFrame:
+def fill_missing(rows: DataFrame, text: str, model: Model | None = None, fields: tuple[str, ...] = FREE_TEXT, least: int = 200, error: str | None = None) -> DataFrame:
     """Fields still empty, from pages' texts of at least `least` characters."""
     if model is None:
         return rows
@@ -44,19 +51,19 @@ def fill_missing(rows: DataFrame, text: str, model: Model | None = None, fields:
     for f in fields:
         empty = empty | (F.coalesce(F.col(f), F.lit("")) == "")
     due = F.coalesce(empty & (F.length(text) >= least), F.lit(False))
-    return rows.where(~due).unionByName(_run(rows.where(due), model, [text, *fields], fields, True))
+    return rows.where(~due).unionByName(_run(rows.where(due), model, [text, *fields], fields, True, error), allowMissingColumns=True)
 
 
-def translate(rows: DataFrame, model: Model | None = None, fields: tuple[str, ...] = TRANSLATED) -> DataFrame:
+def translate(rows: DataFrame, model: Model | None = None, fields: tuple[str, ...] = TRANSLATED, error: str | None = None) -> DataFrame:
     """The fields in the model's words; the old ones where it has none."""
-    return rows if model is None else _run(rows, model, list(fields), fields, False)
+    return rows if model is None else _run(rows, model, list(fields), fields, False, error)
 
 
-def classify(rows: DataFrame, inputs: list[str], outputs: tuple[str, ...], model: Model | None = None, own: tuple[str, ...] = ()) -> DataFrame:
+def classify(rows: DataFrame, inputs: list[str], outputs: tuple[str, ...], model: Model | None = None, own: tuple[str, ...] = (), error: str | None = None) -> DataFrame:
     """rows with text columns that a classifier fills; those that the record has itself keep its values."""
     new = tuple(c for c in outputs if c not in own)
     rows = rows.withColumns({c: F.lit(None).cast("string") for c in new if c not in rows.columns})
-    return rows if model is None else _run(rows, model, inputs, new, False)
+    return rows if model is None else _run(rows, model, inputs, new, False, error)
 
 
 def answer_object(answer: Column) -> Column:

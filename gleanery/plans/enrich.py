@@ -43,34 +43,41 @@ def read_pages(requests: DataFrame, found: DataFrame, pages: DataFrame, settings
 def enrich(requests: DataFrame, found: DataFrame, pages: DataFrame, settings: Settings | None = None, plugged: Models | None = None) -> DataFrame:
     """A record for each request (req_id, ean, name, ground_truth): 19 fields, status, reliability, provenance, source_links.
 
-    Requests without a verified page come back with empty fields and the status no_source.
+    Sources are the pages that gave a field or have content; of their links the first of each host are told, in rank
+    order, settings.max_links of them. Requests without a verified page come back with empty fields and the status
+    no_source. model_error tells what went wrong where a plugged-in model failed.
     """
     settings, plugged = settings or Settings(), plugged or Models()
     read = read_pages(requests, found, pages, settings)
-    used = candidates.read_until(read, F.col("readable"), settings.max_read, ["req_id"], ["place"])
     rank = fuse.page_rank(F.col("trusted"), F.col("route"), F.col("aggregator"), F.col("place"))
-    record = fuse.fill(used, rank)
-    seen = used.groupBy("req_id").agg(
-        F.bool_or("readable").alias("readable"),
-        F.bool_or(F.col("trusted") & F.col("readable")).alias("trusted"),
-        F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "url", "text"))).alias("sources"),
-    )
-    record = record.join(seen, "req_id").withColumn("text", F.get(F.col("sources.text"), 0))
-    record = models.translate(models.fill_missing(record, "text", plugged.fill), plugged.translate)
+    used = candidates.read_until(read, F.col("readable"), settings.max_read, ["req_id"], ["place"]).withColumn("rank", rank)
+    record = fuse.fill(used, F.col("rank"))
+    gave = record.select("req_id", F.array_distinct(F.array(*(f"{f}_rank" for f in config.FIELDS))).alias("winners"))
+    record = record.drop(*(f"{f}_rank" for f in config.FIELDS))
+
+    sources = used.join(gave, "req_id").where(F.col("readable") | F.array_contains("winners", F.col("rank")))
+    # A request has at most max_candidates pages, one of each host.
+    told = F.transform(F.array_sort(F.collect_list(F.struct("rank", "url"))), lambda x: x["url"])
+    told = sources.groupBy("req_id").agg(F.slice(told, 1, settings.max_links).alias("source_links"))
+    best = F.min(F.when(F.col("readable"), F.struct("rank", "text"))).alias("best")
+    seen = used.groupBy("req_id").agg(F.bool_or("readable").alias("readable"), F.bool_or(F.col("trusted") & F.col("readable")).alias("trusted"), best)
+    record = record.join(seen, "req_id").withColumn("text", F.col("best.text")).drop("best")
+    record = models.translate(models.fill_missing(record, "text", plugged.fill, error="model_error"), plugged.translate, error="model_error")
+    if "model_error" not in record.columns:
+        record = record.withColumn("model_error", F.lit(None).cast("string"))
     why = fuse.implausible({k: F.replace(F.col(k), F.lit(","), F.lit(".")).try_cast("double") for k in config.NUTRITION})
     record = record.withColumn("implausible", why)
+    record = record.withColumns({k: F.when(F.col("implausible").isNull(), F.col(k)) for k in config.NUTRITION})
 
-    values = fuse.long_form(used, ["req_id", "host", "trusted"]).where("not trusted")
+    values = fuse.long_form(used.where("readable and not trusted"), ["req_id", "host"])
     winners = fuse.long_form(record, ["req_id"])
     agree = fuse.agreement(F.col("w.field"), F.col("w.value"), F.col("v.value"), numbers.to_double(F.col("w.value")), numbers.to_double(F.col("v.value")), settings.min_agreement)
     hosts = fuse.corroborated(winners, values, agree, ["req_id", "field"], least=settings.min_hosts).groupBy("req_id").agg(F.max("n_hosts").alias("n_hosts"))
 
-    record = record.join(hosts, "req_id", "left").withColumn("n_hosts", F.coalesce("n_hosts", F.lit(0)))
+    record = record.join(hosts, "req_id", "left").withColumn("n_hosts", F.coalesce("n_hosts", F.lit(0))).withColumn("verified", F.lit(True))
+    out = requests.select("req_id", "ean").join(record, "req_id", "left").join(told, "req_id", "left")
     bad = F.col("implausible").isNotNull()
-    blank = {k: F.when(~bad, F.col(k)) for k in config.NUTRITION}
-    out = requests.select("req_id", "ean").join(record.withColumns(blank), "req_id", "left")
-    verified = F.col("sources").isNotNull()
-    readable, trusted = F.coalesce("readable", F.lit(False)), F.coalesce("trusted", F.lit(False))
+    verified, readable, trusted = (F.coalesce(c, F.lit(False)) for c in ("verified", "readable", "trusted"))
     return out.select(
         "req_id",
         "ean",
@@ -79,5 +86,6 @@ def enrich(requests: DataFrame, found: DataFrame, pages: DataFrame, settings: Se
         fuse.reliability(readable, trusted, F.col("n_hosts") >= settings.min_hosts, bad).alias("reliability"),
         fuse.provenance(readable, trusted, F.col("n_hosts"), bad).alias("provenance"),
         "implausible",
-        F.coalesce(F.col("sources.url"), F.array().cast("array<string>")).alias("source_links"),
+        F.coalesce(F.col("source_links"), F.array().cast("array<string>")).alias("source_links"),
+        "model_error",
     )

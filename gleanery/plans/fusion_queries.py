@@ -68,7 +68,7 @@ def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with f as (select l_partkey as req_id, count(distinct l_returnflag || l_linestatus) as n_fields from lineitem where l_partkey % 2 = 0 group by l_partkey having count(distinct l_returnflag || l_linestatus) < 6),
+with f as (select l_partkey as req_id, count(distinct l_returnflag || l_linestatus) as n_fields from lineitem group by l_partkey having count(distinct l_returnflag || l_linestatus) < 6),
 s as (select distinct l_partkey as req_id, l_suppkey as host from lineitem where l_linenumber = 1),
 c as (select distinct l_partkey as req_id, l_suppkey as host from lineitem join f on f.req_id = l_partkey),
 n as (select c.*, row_number() over (partition by c.req_id order by c.host) as n from c where not exists (select 1 from s where s.req_id = c.req_id and s.host = c.host))

@@ -10,7 +10,9 @@ from gleanery.operators import images
 from gleanery.plans.base import query
 from gleanery.sources.tables import table
 
-_HASH = "list_sum(list_transform(range(1, 17), lambda i: case when embedding[i] > 0 then (1::bigint << (i - 1)) else 0 end))::bigint"
+#: Signs of a vector's numbers as two halves of 32 bits.
+_HALVES = ", ".join(f"list_sum(list_transform(range(1, 33), lambda i: case when embedding[i + {at}] > 0 then 1::bigint << (i - 1) else 0 end))::bigint as h{at}" for at in (0, 32))
+_APART = "bit_count(xor({0}.h0, {1}.h0)) + bit_count(xor({0}.h32, {1}.h32))"
 
 
 def _hash() -> Column:
@@ -33,7 +35,13 @@ def image_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("n", n).where("n <= 2").withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"""
+with h as materialized (select vec_id, label, {_HALVES} from embeddings),
+a as materialized (select h.* from h join (select label, min(vec_id) as vec_id from h group by label) using (label, vec_id)),
+b as materialized (select h.* from h join (select h.label, min(h.vec_id) as vec_id from h join a on a.label = h.label where {_APART.format("a", "h")} >= 5 group by h.label) using (label, vec_id)),
+c as (select h.label, min(h.vec_id) as vec_id from h join a on a.label = h.label join b on b.label = h.label where {_APART.format("a", "h")} >= 5 and {_APART.format("b", "h")} >= 5 group by h.label)
+select label, vec_id, 1 as n from a union all select label, vec_id, 2 from b union all select label, vec_id, 3 from c
+""")
 def phash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to three vectors of each label whose hashes differ in five bits from each better one picked."""
     rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.lit(1.0).alias("score"), _hash().alias("hash"))
@@ -41,8 +49,8 @@ def phash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with h as (select vec_id, label, {_HASH} as hash from embeddings where vec_id < 400)
-select a.vec_id, b.vec_id as other, bit_count(xor(a.hash, b.hash))::int as distance from h a join h b on a.label = b.label and (a.hash >> 8) = (b.hash >> 8) and a.vec_id < b.vec_id and bit_count(xor(a.hash, b.hash)) < 5
+with h as (select vec_id, label, {_HALVES} from embeddings)
+select a.vec_id, b.vec_id as other, ({_APART.format("a", "b")})::int as distance from h a join h b on a.label = b.label and a.vec_id < b.vec_id and {_APART.format("a", "b")} < 5
 """)
 def hash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of images of one label whose hashes differ in fewer than five bits."""

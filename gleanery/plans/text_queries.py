@@ -79,10 +79,10 @@ def sig_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with h as (select page_id, trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g')) as name, left(regexp_replace(html, '<[^>]+>', ' ', 'g'), 4000) as body from pages),
-p as (select a.page_id, a.body, {_WORDS.format("a.name")} as own, {_WORDS.format("b.name")} as other from h a join h b on b.page_id = a.page_id + 1),
-r as (select page_id, case when len(own) > 0 then len(list_filter(own, lambda t: contains(lower(body), t))) / len(own)::double else 0 end as own_ratio,
-  case when len(other) > 0 then len(list_filter(other, lambda t: contains(lower(body), t))) / len(other)::double else 0 end as other_ratio, len(other) = 0 as free from p)
+with h as (select page_id, trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g')) as name, lower(regexp_replace(html, '<[^>]+>', ' ', 'g')) as body from pages),
+p as (select a.page_id, a.body, {_WORDS.format("a.name")} as own, coalesce({_WORDS.format("b.name")}, []) as other from h a left join h b on b.page_id = a.page_id + 1),
+r as (select page_id, case when len(own) > 0 then len(list_filter(own, lambda t: contains(body, t))) / len(own)::double else 0 end as own_ratio,
+  case when len(other) > 0 then len(list_filter(other, lambda t: contains(body, t))) / len(other)::double else 0 end as other_ratio, len(other) = 0 as free from p)
 select page_id, round(own_ratio, 6) as own_ratio, round(greatest(own_ratio, other_ratio), 6) as best_ratio, (free or other_ratio >= 0.3) as relevant from r
 """)
 def name_match(spark: SparkSession, sf_dir: str) -> DataFrame:

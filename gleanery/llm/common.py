@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.sources.scratch import written
+from gleanery.sources.scratch import free, new_path, written, written_at
 
 __all__ = ["connected_components", "table", "whole_groups", "written"]
 
@@ -23,11 +23,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014), which need a number of rounds that grows
     with the logarithm of the longest path. Every step is a join or an aggregate over edges; each round is written to
-    the shared folder. Edges with a null end, self loops and repeated edges add nothing; an empty edge list gives an
+    the shared folder, and the one before it is removed. Edges with a null end, self loops and repeated edges add nothing; an empty edge list gives an
     empty result.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    e = written(e.distinct(), "edges")
+    path = new_path(edges.sparkSession, "edges")
+    e = written_at(e.distinct(), path)
     mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = mark(e)
     for _ in range(max_rounds):
@@ -38,7 +39,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, path = path, new_path(edges.sparkSession, "edges")
+        e = written_at(small.union(low.select("u", F.col("m").alias("v"))).distinct(), path)
+        free(last)
         now = mark(e)
         if now == before:
             break

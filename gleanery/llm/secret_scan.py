@@ -8,11 +8,10 @@ repositories of few owners it is a live one in reuse.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.functions.binding import let
 from gleanery.llm.common import table, written
 
 
@@ -43,11 +42,6 @@ _SPAN = "struct<start:int,rank:int,kind:string,end:int,hash:string,shaped:boolea
 PLACEHOLDER = r"(?i)example|changeme|placeholder|dummy|x{4}|your|1234567"
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value worked out once, however often it is used and in whatever loops."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _found(text: Column, kind: str, rank: int, pattern: str, group: int, least: int, test) -> Column:
     """The kind's spans: leftmost non-overlapping matches whose value is long enough. Offsets count code points.
 
@@ -80,9 +74,9 @@ def _found(text: Column, kind: str, rank: int, pattern: str, group: int, least:
         return F.flatten(F.zip_with(lists, starts, of_list))
 
     def of_rows(rows: Column) -> Column:
-        return _let(F.transform(F.sequence(F.lit(1), F.size(rows), F.lit(_LIST)), lambda at: F.slice(rows, at, _LIST)), of_lists)
+        return let(F.transform(F.sequence(F.lit(1), F.size(rows), F.lit(_LIST)), lambda at: F.slice(rows, at, _LIST)), of_lists)
 
-    return F.when(test(text), _let(rows, of_rows)).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    return F.when(test(text), let(rows, of_rows)).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def candidates(text: Column) -> Column:

@@ -50,3 +50,35 @@ def test_empty(spark, docs):
 def test_no_python(spark, docs):
     plan = ls.scan_licenses(docs([(1, "x")]).limit(1))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|ArrowEval", plan)
+
+
+def test_edited_notices(spark, docs):
+    """A word changed amid a short notice, words put in amid a long one, and a gram of a notice quoted between its halves."""
+    w = WORD.findall(MIT.lower())
+    gpl = "This work is licensed under the GNU General Public License, version 3."
+    texts = [
+        gpl.replace("work", "thing").replace("version", "edition"),
+        " ".join([*w[:14], "of", "our", "own", "making", "here", *w[14:]]),
+        " ".join([*w[:14], *w[20:23], *w[14:]]),
+        " ".join([*w[:6], "lorem ipsum " * 20, *w[25:]]),
+    ]
+    got = {r.doc_id: r for r in ls.scan_licenses(docs(list(enumerate(texts)))).collect()}
+    assert [got[i].labels for i in range(4)] == ["gpl", "mit", "mit", ""]
+    assert (got[1].score, got[2].score) == (len(w) / (len(w) + 5), len(w) / (len(w) + 3)) and [(s.start, s.end) for s in got[1].spans] == [(0, len(w) + 5)]
+
+
+def test_templates_that_repeat_grams(spark, docs):
+    """Grams that a template holds several times vote for several diagonals; one span comes out of each place."""
+    template = (("again", "one two three and one two three and one two three at last"),)
+    text = template[0][1]
+    got = {r.doc_id: r for r in ls.scan_licenses(docs([(1, text), (2, f"{text} then others {'x ' * 30} {text}"), (3, "one two three")]), templates=template).collect()}
+    assert [(s.start, s.end, s.score) for s in got[1].spans] == [(0, 13, 1.0)]
+    assert len(got[2].spans) == 2 and got[3].spans == []
+
+
+def test_the_better_notice_counts(spark, docs):
+    """The GPL's words hold all but one of the LGPL's; each is told as what it is."""
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation."
+    got = {r.doc_id: r for r in ls.scan_licenses(docs([(1, gpl), (2, gpl.replace("GNU", "GNU Lesser"))])).collect()}
+    assert (got[1].labels, len(got[1].spans)) == ("gpl", 1)
+    assert "lgpl" in got[2].labels.split(",") or got[2].spans[0].label == "gpl"

@@ -152,9 +152,9 @@ def margins(mixed: DataFrame, dims: list[str]) -> DataFrame:
     return sums.join(whole, "dim").select("dim", "value", (F.col("t") / F.col("all_t")).alias("share"), (F.col("e") / F.col("all_e")).alias("expected"), (F.col("d") / F.col("all_d")).alias("drawn"))
 
 
-def mix_documents(docs: DataFrame, carry: list[str] | None = None, most: int | None = None) -> DataFrame:
+def mix_documents(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(F.coalesce(F.col("text"), F.lit("")))}
-    return mix(docs, TARGETS, dims, token_count(F.col("text")), carry=carry, most=most)
+    return mix(docs, TARGETS, dims, token_count(F.col("text")), carry=carry)
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,12 +165,13 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are drawn, each at most once: repeats would undo the near-duplicate stage before this one.
+    """The documents that are drawn, as many rows of each as its copies, so that the targets are met without leaving out most of the rest.
 
     Null and empty texts have no tokens and their cell's chance; a null source or language counts as "other"; rows with
     the same id are drawn together; texts of any length are weighed whole.
     """
-    return mix_documents(docs, most=1).where("copies > 0").select("doc.*")
+    drawn = mix_documents(docs).where("copies > 0")
+    return drawn.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
 
 
 QUERIES = {"op3_source_mixing": op3_source_mixing}

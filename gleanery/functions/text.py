@@ -26,6 +26,12 @@ def name_ratio(anchor: Column, text: Column) -> Column:
     return F.when(F.size(t) > 0, F.size(F.filter(t, lambda x: F.contains(low, x))) / F.size(t)).otherwise(0.0)
 
 
+def word_ratio(anchor: Column, text: Column) -> Column:
+    """name_ratio over the words between blanks as they are, punctuation included."""
+    t, low = F.filter(F.array_distinct(F.split(F.lower(F.coalesce(anchor, F.lit(""))), r"\s+")), lambda x: F.length(x) > 3), F.lower(F.coalesce(text, F.lit("")))
+    return F.when(F.size(t) > 0, F.size(F.filter(t, lambda x: F.contains(low, x))) / F.size(t)).otherwise(0.0)
+
+
 def best_ratio(anchors: Column, text: Column) -> Column:
     """The best ratio of several anchors; 0 without any."""
     named = F.filter(anchors, lambda a: a.isNotNull() & (a != ""))

@@ -34,14 +34,23 @@ def _wanted() -> Column:
     return text.without_packs(F.coalesce(F.col("ground_truth"), F.lit("")))
 
 
-def _seen(requests: DataFrame, results: DataFrame, limits: dict[str, int], settings: Settings) -> DataFrame:
-    """Each place within the limits with what the steps ask of it, as the column x; one row for a place."""
+def _seen(requests: DataFrame, results: DataFrame, limits: dict[str, int], settings: Settings, trust: bool) -> DataFrame:
+    """Each place within the limits with what the steps ask of it, as the column x; one row for a place.
+
+    What only some steps ask is null for the others. With trust, x tells whether places from the code on are trusted and alike.
+    """
     place = results.where(F.col("rank").between(0, _table(limits, F.col("step")) - 1)).select("req_id", _table(STEPS, F.col("step")).alias("step"), "rank", F.struct("link", "title", "snippet", "error").alias("r_"))
     one = place.groupBy("req_id", "step", "rank").agg(F.min("r_").alias("r_"))
     asked = requests.select("req_id", "ean", _wanted().alias("wanted_")).withColumn("brand_", text.brand("wanted_"))
     rows = one.join(asked, "req_id")
     link, host = F.coalesce("r_.link", F.lit("")), F.lower(urls.host(F.col("r_.link")))
     title = text.name_from_title(F.coalesce("r_.title", F.lit("")))
+    late = F.col("step") >= STEPS["code"]
+    alike = (
+        F.when(late, verify.trusted(host, urls.under(host, settings.trusted_hosts), F.col("brand_"))).alias("trusted"),
+        F.when(late, text.weights_conflict(F.array(F.nullif(F.col("wanted_"), F.lit(""))), title)).alias("conflict"),
+        F.when(late, text.word_ratio(F.col("wanted_"), title)).alias("ratio"),
+    )
     x = F.struct(
         "step",
         "rank",
@@ -52,12 +61,10 @@ def _seen(requests: DataFrame, results: DataFrame, limits: dict[str, int], setti
         ((link != "") & ~urls.excluded(link, settings.excluded_tokens)).alias("allowed"),
         urls.http(link).alias("http"),
         text.garbage_name(title).alias("garbage"),
-        F.coalesce(text.brand_in_host(F.col("brand_"), host), F.lit(False)).alias("brand"),
-        verify.snippet_has_code(F.col("r_.snippet"), F.col("ean")).alias("code"),
-        text.relevant(F.col("wanted_"), F.col("r_.title"), F.col("r_.snippet"), settings.min_relevance).alias("relevant"),
-        verify.trusted(host, urls.under(host, settings.trusted_hosts), F.col("brand_")).alias("trusted"),
-        text.weights_conflict(F.array(F.nullif(F.col("wanted_"), F.lit(""))), title).alias("conflict"),
-        text.word_ratio(F.col("wanted_"), title).alias("ratio"),
+        F.when(F.col("step") == STEPS["brand"], text.brand_in_host(F.col("brand_"), host)).alias("brand"),
+        F.when(F.col("step") == STEPS["name_code"], verify.snippet_has_code(F.col("r_.snippet"), F.col("ean"))).alias("code"),
+        F.when(F.col("step") == STEPS["code"], text.relevant(F.col("wanted_"), F.col("r_.title"), F.col("r_.snippet"), settings.min_relevance)).alias("relevant"),
+        *(alike if trust else ()),
     )
     return rows.select("req_id", x.alias("x"))
 
@@ -95,7 +102,7 @@ def discover(requests: DataFrame, results: DataFrame, settings: Settings | None
         .when(named, x["asked"] & x["allowed"] & ~x["garbage"])
         .otherwise(True)
     )
-    rows = _seen(requests, results, PAGE_LIMITS, settings).where(passes).groupBy("req_id").agg(F.array_sort(F.collect_list("x")).alias("xs_"))
+    rows = _seen(requests, results, PAGE_LIMITS, settings, False).groupBy("req_id").agg(F.array_sort(F.collect_list(F.when(passes, x))).alias("xs_"))
     rows = requests.select("req_id", "name", "verified").join(rows, "req_id", "left")
     start = F.struct(
         F.array().cast("array<string>").alias("links"),
@@ -140,7 +147,7 @@ def resolve(requests: DataFrame, results: DataFrame, confirmed: DataFrame, setti
         .when(step >= STEPS["name_market"], x["asked"] & x["allowed"] & ~x["garbage"])
         .otherwise(True)
     )
-    rows = _seen(requests, results, NAME_LIMITS, settings).where(due).groupBy("req_id").agg(F.array_sort(F.collect_list("x")).alias("xs_"))
+    rows = _seen(requests, results, NAME_LIMITS, settings, True).groupBy("req_id").agg(F.array_sort(F.collect_list(F.when(due, x))).alias("xs_"))
     # A request has at most as many confirmed links as places.
     proven = confirmed.groupBy("req_id").agg(F.collect_set("link").alias("proven_"))
     rows = requests.select("req_id", "ean", "name", "verified").join(rows, "req_id", "left").join(proven, "req_id", "left")

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.functions.text import sanitised
+
 Model = Callable[[pd.DataFrame], pd.DataFrame]
 FREE_TEXT = ("ingredients", "allergens", "may_contain", "manufacturer_name", "manufacturer_address", "place_of_origin")
 TRANSLATED = ("allergens", "may_contain")
@@ -70,3 +72,9 @@ def answer_object(answer: Column) -> Column:
     """The JSON object in a model's answer: from its first brace to its last; null without one that can be read."""
     body = F.nullif(F.regexp_extract(answer, r"(?s)\{.*\}", 0), F.lit(""))
     return F.when(F.from_json(body, "map<string,string>").isNotNull(), body)
+
+
+def answer_columns(answer: Column, keys: tuple[str, ...]) -> list[Column]:
+    """The keys of a model's answer as text columns, lists and objects as JSON; empty where there is none, or a word for none."""
+    said = F.from_json(answer_object(answer), "map<string,string>")
+    return [sanitised(F.trim(said[k])).alias(k) for k in keys]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.config import Settings
-from gleanery.operators import ladders
+from gleanery.operators import export, ladders, models
 from gleanery.plans.base import query
 from gleanery.sources.tables import table
 
@@ -93,6 +93,53 @@ def resolve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("links", F.array_join("links", " "))
 
 
+@query("""
+with k as (select p_partkey as k, p_partkey % 5 > 0 as asked, p_partkey % 4 = 0 as known from part where p_partkey > 0)
+select k as req_id, case when k % 3 = 0 then 'Search failed' else 'Not found' end as failure from k where not known and k % 10 = 5
+""")
+def early_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that no source knows: neither named, proven, listed nor pictured; a failed search is told apart from a miss."""
+    requests, results, pages = _made(spark, sf_dir)
+    k = F.col("req_id")
+    # Every tenth part that nobody asks by name is without results, but for the search that fails for some of them.
+    gone = k % 10 == 5
+    landed = results.where(~gone).unionByName(requests.where(gone & (k % 3 == 0)).select("req_id", F.lit("code").alias("step"), F.lit(0).alias("rank"), *(F.lit(None).cast("string").alias(c) for c in ("link", "title", "snippet")), F.lit(503).alias("error")))
+    out = ladders.resolve(requests, landed, ladders.evidence(requests, landed, pages), _SETTINGS)
+    out = out.join(requests.select("req_id", F.col("verified").alias("known")), "req_id")
+    early = export.ends_early(F.col("name"), F.col("verified"), F.col("known"), F.when(gone, 0).otherwise(1), ladders.PLACEHOLDER)
+    return out.where(early).select("req_id", export.failed_status(F.col("search_failed"), F.size("links")).alias("failure"))
+
+
+@query("""
+select p_partkey, case when p_size % 3 = 0 then 'Success' else 'Failed Validation' end as status, case when p_size % 3 = 0 then ['H', 'M', 'L', 'L'][p_partkey % 4 + 1] else 'L' end as reliability,
+  case when p_size % 3 = 1 then 'Verified page(s) found but not readable (JS/cookie wall) — no field is shown without a readable source behind it.'
+  when p_size % 3 = 2 then 'No verified source page could be read for this EAN — no field is shown without a readable source behind it.'
+  when p_partkey % 4 = 0 then 'Confirmed by a trusted source (the brand''s own site or a tier-1 retailer) — ' || s || '.'
+  when p_partkey % 4 = 1 then 'No trusted (brand/tier-1) source found; the value(s) shown are corroborated across >=2 independent retailer pages — ' || s || '.'
+  else 'Only a single non-tier-1 source backs this data, with no corroboration from another retailer — ' || s || '. Verify manually before upload.' end as reasoning
+from (select *, case p_partkey % 3 when 0 then '' when 1 then 'a.example' else 'a.example, b.example' end as s from part)
+""")
+def reliability_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status, reliability and the text that gives the reason, for every state a part can be in."""
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    status = F.element_at(F.array(*map(F.lit, ("success", "page_not_readable", "no_source"))), F.col("p_size") % 3 + 1)
+    level = F.element_at(F.array(F.lit("H"), F.lit("M"), F.lit("L"), F.lit(None)), (k % 4 + 1).cast("int"))
+    hosts = F.when(k % 3 == 1, F.array(F.lit("a.example"))).when(k % 3 == 2, F.array(*map(F.lit, ("a.example", "b.example", "c.example"))))
+    return part.select("p_partkey", export.final_status(status).alias("status"), export.final_reliability(status, level).alias("reliability"), export.reasoning(status, level, hosts).alias("reasoning"))
+
+
+@query("""
+select p_partkey, case when p_partkey % 5 = 0 then '' else p_type end as category, case when p_partkey % 5 = 0 then '' else '["' || p_brand || '","x"]' end as tags, case when p_partkey % 5 in (0, 1) then '' else p_size::varchar end as size from part
+""")
+def answer_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed columns of classifiers' answers: an object amid other words, lists in it, missing keys, words for none, no object at all."""
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    size = F.when(k % 5 == 1, F.lit("null")).otherwise(F.col("p_size").cast("string"))
+    body = F.concat(F.lit('{"category": "'), "p_type", F.lit('", "tags": ["'), "p_brand", F.lit('", "x"], "size": '), size, F.lit("}"))
+    said = F.when(k % 5 == 0, F.lit("no answer {")).otherwise(F.concat(F.lit("Here it is:\n"), body, F.lit("\nDone.")))
+    return part.select("p_partkey", *models.answer_columns(said, ("category", "tags", "size")))
+
+
 _IMAGE = "'https://' || case when h % 7 = 3 then 'www.ebay.com' else 'img' || (h % 5) || '.example' end || '/' || k || '/' || (h % 13) || '.jpg'"
 
 

@@ -129,6 +129,11 @@ def discover(requests: DataFrame, results: DataFrame, settings: Settings | None
     return rows.withColumn("end_", end).select("req_id", F.col("end_.name").alias("name"), F.col("end_.verified").alias("verified"), F.col("end_.links").alias("links"))
 
 
+def found(discovered: DataFrame) -> DataFrame:
+    """(req_id, pos, url) from what discover() gives, pos from 0."""
+    return discovered.select("req_id", F.posexplode("links").alias("pos", "url"))
+
+
 def resolve(requests: DataFrame, results: DataFrame, confirmed: DataFrame, settings: Settings | None = None, least_ratio: float = 0.6) -> DataFrame:
     """(req_id, name, named_by, verified, search_failed, links) for each request (req_id, ean, ground_truth, name, verified).
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gleanery import config
 from gleanery.config import Settings
 from gleanery.functions import html, numbers, text, urls
-from gleanery.operators import candidates, fuse, models, page_fields, verify
+from gleanery.operators import candidates, fuse, ladders, models, page_fields, verify
 from gleanery.sources.scratch import written
 
 
@@ -89,3 +89,11 @@ def enrich(requests: DataFrame, found: DataFrame, pages: DataFrame, settings: Se
         F.coalesce(F.col("source_links"), F.array().cast("array<string>")).alias("source_links"),
         "model_error",
     )
+
+
+def search_and_enrich(requests: DataFrame, results: DataFrame, pages: DataFrame, settings: Settings | None = None, plugged: Models | None = None) -> DataFrame:
+    """enrich() from landed search results: requests (req_id, ean, ground_truth, name, verified), of which the last two are a registry's."""
+    # Written once, for names and links are read apart.
+    known = written(ladders.discover(requests, results, settings), "discovered")
+    named = requests.select("req_id", "ean", "ground_truth").join(known.select("req_id", "name"), "req_id")
+    return enrich(named, ladders.found(known), pages, settings, plugged)

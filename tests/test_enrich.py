@@ -6,7 +6,7 @@ import pandas as pd
 
 from gleanery.config import Settings
 from gleanery.operators import models
-from gleanery.plans.enrich import Models, enrich
+from gleanery.plans.enrich import Models, enrich, search_and_enrich
 
 EAN = "4006381333931"
 ROW = "<tr><td>{}</td><td>{}</td></tr>"
@@ -72,3 +72,20 @@ def test_models_are_plugged_in(spark):
     told = models.fill_missing(rows, "text", broken, fields, error="why").orderBy("id").collect()
     assert [r.why for r in told] == ["ValueError: no answer", None]
     assert models.classify(rows, ["text"], ("c1", "ingredients"), None, ("ingredients",)).columns == [*rows.columns, "c1"]
+
+
+def test_search_results_are_enriched(spark):
+    requests = spark.createDataFrame([(1, EAN, "Alpina oat drink", None, None), (2, "96385074", None, None, None)], "req_id int, ean string, ground_truth string, name string, verified boolean")
+    results = [
+        (1, "name_code", 0, PAGES[2][0], "Alpina oat drink - a", f"EAN {EAN}", None),
+        (1, "aggregator", 0, PAGES[4][0], "excluded", None, None),
+        (1, "market", 0, PAGES[5][0], "something else", None, None),
+        (1, "market", 1, PAGES[3][0], "oat", None, None),
+        (2, "market", 0, None, None, None, 429),
+    ]
+    results = spark.createDataFrame(results, "req_id int, step string, rank int, link string, title string, snippet string, error int")
+    pages = spark.createDataFrame(PAGES, "url string, html string")
+    got = {r.req_id: r for r in search_and_enrich(requests, results, pages, Settings()).collect()}
+    assert (got[1].fat_g, got[1].protein_g, got[1].salt_g) == ("1.6", "1", "0.1")
+    assert list(got[1].source_links) == [PAGES[2][0], PAGES[3][0]]
+    assert (got[1].status, got[2].status, got[2].fat_g) == ("success", "no_source", None)

@@ -7,11 +7,16 @@ Plan of ``link_documents``:
 2. A set of n shingles that reaches a Jaccard of 0.8 with another shares at least T = ceil(0.8 n) of its n shingles,
    so the two share one of their n - T + 1 rarest. Rarity is (sketch count, hash): any order that is the same for all
    documents keeps this exact; the sketch only keeps frequent shingles out. Each class posts its rarest shingles.
-3. Sorted by shingle and size, each posting list streams through a task in constant memory, and is cut where sizes are
-   too far apart for a link. The list's first class leads it; (leader, class) pairs go on. Lists with the same leader form one block, so copies meet once and not once a shingle.
+   Of a pair's common shingles the first in that order is at a place of its own in each of the two sets, and bounds what
+   they share; so each posting has the largest size that it can link with.
+3. Sorted by shingle and size, each posting list streams through a task in constant memory, and is cut where no set
+   before can link with the next. The list's first class leads it; (leader, class) pairs go on. Classes that can link with
+   none of a list's sizes by this shingle are left out: those of a group's near copies that link with nothing would each
+   query the whole group. Lists with the same leader form one block, so copies meet once and not once a shingle.
 4. Blocks are searched with DivideSkip (Li, Lu, Lu 2008) over inverted lists of whole sets: the longest lists are left
    out of the heap merge and binary-probed for what the merge of the short ones finds; overlaps are exact. A class that
-   was linked leaves the lists, so a group of copies takes about one query and not all its pairs.
+   was linked leaves the lists, so a group of copies takes about one query and not all its pairs. A query's T is that of
+   the smallest set it can still meet.
    A block over `block_docs` classes or `block_shingles` shingles is dealt into salted parts. Each part meets the first one
    and so itself; what that leaves outside the block's largest component, its strays, then meets every part. Two classes
    that are in different components are never both in the largest, so no pair is lost, memory stays bounded, and a
@@ -49,6 +54,11 @@ def required(n: int, percent: int = 80) -> int:
     return -(-percent * n // 100)
 
 
+def in_common(n: int, m: int, percent: int = 80) -> int:
+    """The fewest shingles that sets of n and m share at that Jaccard similarity."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
 def _bucket(shingles: np.ndarray, bits: int) -> np.ndarray:
     return (mixed(shingles) >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -108,16 +118,22 @@ def rarest(shingles: np.ndarray, counts: np.ndarray, bits: int, percent: int) ->
     keep = len(shingles) - required(len(shingles), percent) + 1
     key = counts[_bucket(shingles, bits)]
     if keep < len(shingles):
-        edge = np.partition(key, keep - 1)[keep - 1]
-        shingles, key = shingles[key <= edge], key[key <= edge]
-        below = shingles[key < edge]
-        return np.concatenate([below, shingles[key == edge][: keep - len(below)]])  # shingles are sorted by hash
-    return shingles
+        near = key <= np.partition(key, keep - 1)[keep - 1]
+        shingles, key = shingles[near], key[near]
+    return shingles[np.argsort(key, kind="stable")[:keep]]  # shingles are sorted by hash
+
+
+def farthest(n: int, places: np.ndarray, percent: int = 80) -> np.ndarray:
+    """The largest set that one of n can link with when their first common shingle has that place among its n.
+
+    Common shingles are then among the n - place last ones, and (100 + percent) * overlap >= percent * (n + size) for a link.
+    """
+    return (100 + percent) * (n - places) // percent - n
 
 
 def _post(batches: Iterator[pa.RecordBatch], width: int, bits: int, percent: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seen, tokens, sigs, ns = set(), [], [], []
+        seen, tokens, sigs, ns, most = set(), [], [], [], []
         held = 0
         for s in shingle_sets(batch.column("text"), width):
             if not len(s) or (name := set_name(s)) in seen:
@@ -127,46 +143,50 @@ def _post(batches: Iterator[pa.RecordBatch], width: int, bits: int, percent: int
             tokens.append(t.view(np.int64))
             sigs.append(np.full(len(t), name, dtype=np.int64))
             ns.append(np.full(len(t), len(s), dtype=np.int32))
+            most.append(farthest(len(s), np.arange(len(t)), percent).astype(np.int32))
             held += len(t)
             if held > 200_000:
-                yield _postings(tokens, sigs, ns)
-                tokens, sigs, ns, held = [], [], [], 0
+                yield _postings(tokens, sigs, ns, most)
+                tokens, sigs, ns, most, held = [], [], [], [], 0
         if held:
-            yield _postings(tokens, sigs, ns)
+            yield _postings(tokens, sigs, ns, most)
 
 
 def _postings(*columns: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["token", "sig", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["token", "sig", "n", "most"])
 
 
-def _led(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From postings sorted by (token, n, sig): (leader, sig, n) for the members of lists with two or more classes.
 
-    A list ends where the next set is too large for any set before it. What is kept between batches is one row.
+    `most` is the largest size that a posting's class can link with by this shingle. A list ends where the next set is
+    larger than that of any set before it, and its leader is the first class that can link with its own size or a larger one. A
+    class that can only link with smaller sets than the leader's is left out. What is kept between batches is one row.
     """
-    last = None  # token, sig, n, leader, leader's n, whether it is the first of its list
+    last = None  # token, sig, n, largest most of the token so far, leader, leader's n
     for batch in batches:
-        t, s, n = (batch.column(k).to_numpy() for k in ("token", "sig", "n"))
-        n = n.astype(np.int64)
+        t, s, n, most = (batch.column(k).to_numpy() for k in ("token", "sig", "n", "most"))
+        n, most = n.astype(np.int64), most.astype(np.int64)
         if last is not None:
-            t, s, n = np.concatenate([[last[0]], t]), np.concatenate([[last[1]], s]), np.concatenate([[last[2]], n])
+            t, s, n, most = (np.concatenate([[x], y]) for x, y in zip(last, (t, s, n, most)))  # noqa: B905
         new = np.ones(len(t), dtype=bool)
         new[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
-        t, s, n = t[new], s[new], n[new]
+        t, s, n, most = t[new], s[new], n[new], most[new]
         if not len(t):
             continue
-        first = np.ones(len(t), dtype=bool)
-        first[1:] = (t[1:] != t[:-1]) | (percent * n[1:] > 100 * n[:-1])
+        same = t[1:] == t[:-1]
+        token = np.concatenate([[0], np.cumsum(~same)]) << 32
+        reach = np.maximum.accumulate(token + most) - token
+        before = np.full(len(t), -1)
+        before[1:][same] = reach[:-1][same]
+        first = (most >= n) & (n > before)
         if last is not None:
-            first[0] = last[5]
+            first[0] = False
         at = np.maximum.accumulate(np.where(first, np.arange(len(t)), -1))
-        lead, lead_n = (np.where(at >= 0, x[at], 0 if last is None else last[k]) for x, k in ((s, 3), (n, 4)))
-        member = ~first
-        if last is not None:
-            member[0] = False  # told with the batch before
-        second = np.concatenate([[False], member[1:] & first[:-1]])
-        last = t[-1], s[-1], n[-1], lead[-1], lead_n[-1], bool(first[-1])
-        led = np.concatenate([lead[member], lead[second]]), np.concatenate([s[member], lead[second]]), np.concatenate([n[member], lead_n[second]])
+        lead, lead_n = (np.where(at >= 0, x[at], 0 if last is None else last[k]) for x, k in ((s, 4), (n, 5)))
+        member = (n <= before) & (most >= lead_n)  # never a first one, nor the row of the batch before
+        last = t[-1], s[-1], n[-1], reach[-1], lead[-1], lead_n[-1]
+        led = np.concatenate([lead[member]] * 2), np.concatenate([s[member], lead[member]]), np.concatenate([n[member], lead_n[member]])
         if len(led[0]):
             order = np.lexsort((led[1], led[0]))
             leader, sig, size = (x[order] for x in led)
@@ -260,18 +280,20 @@ def search_block(sets: list[np.ndarray], percent: int = 80) -> list[tuple[int, i
     alive = np.ones(len(sets), dtype=bool)
     left = len(sets)
     index, built = Lists(sets, np.flatnonzero(alive)), left
+    min_after = np.minimum.accumulate(np.array(sizes[::-1], dtype=np.int64))[::-1].tolist()  # all that a seed can still meet come after it
     links = []
     for seed in range(len(sets)):
         if not alive[seed]:
             continue
         alive[seed] = False
         left -= 1
-        queue = [seed]
+        queue, fewest = [seed], min_after[seed]
         while queue and left:
             x = queue.pop()
             if left <= built // 2 and built > 8:
                 index, built = Lists(sets, np.flatnonzero(alive)), left
-            for y, overlap in divide_skip(sets[x], index, required(sizes[x], percent)):
+            least = max(required(sizes[x], percent), in_common(sizes[x], fewest, percent))
+            for y, overlap in divide_skip(sets[x], index, least):
                 if alive[y] and 100 * overlap >= percent * (sizes[x] + sizes[y] - overlap):
                     alive[y] = False
                     left -= 1
@@ -285,6 +307,7 @@ def search_block(sets: list[np.ndarray], percent: int = 80) -> list[tuple[int, i
 def search_strays(sets: list[np.ndarray], stray: list[bool], components: list[int], percent: int = 80) -> list[tuple[int, int]]:
     """Links from any set to a stray of another component, as many as join what all such links join."""
     index = Lists(sets, np.flatnonzero(stray))
+    fewest = min((len(s) for s, x in zip(sets, stray, strict=True) if x), default=0)
     root = {c: c for c in components}
 
     def find(c: int) -> int:
@@ -294,7 +317,7 @@ def search_strays(sets: list[np.ndarray], stray: list[bool], components: list[in
 
     links = []
     for x, s in enumerate(sets):
-        for y, overlap in divide_skip(s, index, required(len(s), percent)):
+        for y, overlap in divide_skip(s, index, max(required(len(s), percent), in_common(len(s), fewest, percent))):
             a, b = find(components[x]), find(components[y])
             if a != b and 100 * overlap >= percent * (len(s) + len(sets[y]) - overlap):
                 root[a] = b
@@ -384,7 +407,7 @@ def _linked(
     shared = spark.sparkContext.broadcast(counts)
     post: Callable = lambda it: _post(it, width, sketch_bits, percent, shared.value)
     members = (
-        own.where("doc_id is not null").select("text").mapInArrow(post, "token long, sig long, n int").repartition("token").sortWithinPartitions("token", "n", "sig").mapInArrow(lambda it: _led(it, percent), "leader long, sig long, n int")
+        own.where("doc_id is not null").select("text").mapInArrow(post, "token long, sig long, n int, most int").repartition("token").sortWithinPartitions("token", "n", "sig").mapInArrow(_led, "leader long, sig long, n int")
     )
     members = written(members.groupBy("leader", "sig").agg(F.max("n").alias("n")), "members")
     def parts_of(rows: DataFrame) -> DataFrame:

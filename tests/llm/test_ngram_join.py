@@ -134,3 +134,58 @@ def test_sketch_in_a_tree(spark, docs, monkeypatch):
     monkeypatch.setattr(nj, "_LANE", 2)
     assert sorted(map(tuple, nj.link_documents(d, sketch_bits=12).collect())) == want
     assert nj._packed(np.array([1, 2**40], dtype=np.int64)) == nj._packed(np.array([1, 2**32 - 1], dtype=np.int64))
+
+
+def blocks_of(texts, size, bits=16):
+    """The sets by name, and each leader's members, with postings told in batches of that many rows."""
+    column = pa.array([t.encode() for t in texts], pa.binary())
+    sets = {nj.set_name(s): s for s in shingle_sets(column)}
+    counts = np.zeros(1 << bits, dtype=np.uint16)
+    for s in sets.values():
+        np.add.at(counts, nj._bucket(s, bits), 1)
+    posted = nj._post(iter([pa.RecordBatch.from_arrays([column], ["text"])]), 5, bits, 80, counts)
+    rows = pa.Table.from_batches(list(posted)).sort_by([(k, "ascending") for k in ("token", "n", "sig")]).combine_chunks()
+    blocks = {}
+    for b in nj._led(iter(rows.to_batches(max_chunksize=size))):
+        for leader, sig, n in zip(*(b.column(k).to_pylist() for k in ("leader", "sig", "n"))):
+            assert n == len(sets[sig])
+            blocks.setdefault(leader, set()).add(sig)
+    return sets, blocks
+
+
+def linked(a, b):
+    both = len(np.intersect1d(a, b))
+    return 100 * both >= 80 * (len(a) + len(b) - both)
+
+
+@pytest.mark.parametrize("size", [1, 7, 1 << 20])
+def test_blocks_join_what_links_join(size):
+    sets, blocks = blocks_of(corpus(11), size)
+    names = list(sets)
+    for i, a in enumerate(names):
+        for b in names[:i]:
+            if linked(sets[a], sets[b]):
+                assert any(a in m and b in m for m in blocks.values())
+
+
+def test_near_copies_that_cannot_link_meet_no_block():
+    """Sets of one size with a seventh of their own shingles share enough rare ones to be posted together, but can't link."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(400)]
+    near, far = ([list(base) for _ in range(60)] for _ in range(2))
+    for group, places in ((near, 2), (far, 12)):
+        for k, t in enumerate(group):
+            for at in rng.sample(range(0, 390, 6), places):
+                t[at] = f"own{k}-{at}-{places}"
+    sets, blocks = blocks_of([" ".join(t) for t in near + far], 1 << 20, 20)
+    names = list(sets)
+    assert not any(linked(sets[a], sets[b]) for a in names[60:] for b in names if a != b)
+    assert set.union(*blocks.values()) == set(names[:60])
+
+
+def test_least_overlap_by_sizes():
+    for n in range(1, 40):
+        for m in range(1, 40):
+            want = [o for o in range(min(n, m) + 1) if 100 * o >= 80 * (n + m - o)]
+            assert nj.in_common(n, m) == min(want, default=nj.in_common(n, m)) and (want or nj.in_common(n, m) > min(n, m))
+            assert (nj.farthest(n, np.array([0])) >= m)[0] == (180 * n >= 80 * (n + m))

@@ -3,6 +3,9 @@
 Results are (req_id, step, rank, link, title, snippet, error), step a key of STEPS and rank from 0; where a place was landed twice
 the least row counts. A failed search is one row with its error. A ladder keeps the places within its limits, so what is gathered
 for a request is bounded by these limits, and walks them in order by one native fold.
+
+Requests are as many as their results, so tables of them are met by merge joins: the size that Spark guesses from compressed files
+lets it broadcast tables that the driver can't hold.
 """
 
 from __future__ import annotations
@@ -42,7 +45,7 @@ def _seen(requests: DataFrame, results: DataFrame, limits: dict[str, int], setti
     place = results.where(F.col("rank").between(0, _table(limits, F.col("step")) - 1)).select("req_id", _table(STEPS, F.col("step")).alias("step"), "rank", F.struct("link", "title", "snippet", "error").alias("r_"))
     one = place.groupBy("req_id", "step", "rank").agg(F.min("r_").alias("r_"))
     asked = requests.select("req_id", "ean", _wanted().alias("wanted_")).withColumn("brand_", text.brand("wanted_"))
-    rows = one.join(asked, "req_id")
+    rows = one.join(asked.hint("merge"), "req_id")
     link, host = F.coalesce("r_.link", F.lit("")), F.lower(urls.host(F.col("r_.link")))
     title = text.name_from_title(F.coalesce("r_.title", F.lit("")))
     late = F.col("step") >= STEPS["code"]
@@ -74,7 +77,7 @@ def evidence(requests: DataFrame, results: DataFrame, pages: DataFrame, limits:
     by_page = {k: v for k, v in (limits or NAME_LIMITS).items() if k not in ("market", "code")}
     pairs = results.where(F.col("rank").between(0, _table(by_page, F.col("step")) - 1)).select("req_id", "link").distinct()
     asked = requests.select("req_id", "ean", _wanted().alias("wanted_"))
-    met = pairs.join(asked, "req_id").join(pages.select(F.col("url").alias("link"), "html"), "link")
+    met = pairs.join(asked.hint("merge"), "req_id").join(pages.select(F.col("url").alias("link"), "html").hint("merge"), "link")
     return met.where(verify.code_evidence(F.col("html"), F.col("ean"), F.col("wanted_"))).select("req_id", "link").distinct()
 
 
@@ -103,7 +106,7 @@ def discover(requests: DataFrame, results: DataFrame, settings: Settings | None
         .otherwise(True)
     )
     rows = _seen(requests, results, PAGE_LIMITS, settings, False).groupBy("req_id").agg(F.array_sort(F.collect_list(F.when(passes, x))).alias("xs_"))
-    rows = requests.select("req_id", "name", "verified").join(rows, "req_id", "left")
+    rows = requests.select("req_id", "name", "verified").join(rows.hint("merge"), "req_id", "left")
     start = F.struct(
         F.array().cast("array<string>").alias("links"),
         F.nullif(F.col("name"), F.lit("")).alias("name"),
@@ -155,7 +158,7 @@ def resolve(requests: DataFrame, results: DataFrame, confirmed: DataFrame, setti
     rows = _seen(requests, results, NAME_LIMITS, settings, True).groupBy("req_id").agg(F.array_sort(F.collect_list(F.when(due, x))).alias("xs_"))
     # A request has at most as many confirmed links as places.
     proven = confirmed.groupBy("req_id").agg(F.collect_set("link").alias("proven_"))
-    rows = requests.select("req_id", "ean", "name", "verified").join(rows, "req_id", "left").join(proven, "req_id", "left")
+    rows = requests.select("req_id", "ean", "name", "verified").join(rows.hint("merge"), "req_id", "left").join(proven.hint("merge"), "req_id", "left")
     rows = rows.withColumn("proven_", F.coalesce("proven_", F.array().cast("array<string>")))
     start = F.struct(
         F.array().cast("array<string>").alias("links"),
@@ -215,7 +218,7 @@ def image_candidates(images: DataFrame, named: DataFrame, settings: Settings | N
     named) can't be told apart by a picture, so only the first registry's image counts there; unlisted requests are not named.
     """
     settings = settings or Settings()
-    rows = images.where(F.col("rank").between(0, _table(IMAGE_LIMITS, F.col("stage")) - 1)).join(named.select("req_id", "named"), "req_id", "left")
+    rows = images.where(F.col("rank").between(0, _table(IMAGE_LIMITS, F.col("stage")) - 1)).join(named.select("req_id", "named").hint("merge"), "req_id", "left")
     rows = _usable(rows.where(F.coalesce("named", F.lit(False)) | (F.col("stage") == "registry_a")), settings.excluded_tokens)
     first = F.min(F.struct(_table(IMAGE_STAGES, F.col("stage")).alias("order"), "rank", "stage", "original", "thumbnail", "title", "domain")).alias("x")
     one = rows.groupBy("req_id", "key").agg(first)
@@ -226,7 +229,7 @@ def image_candidates(images: DataFrame, named: DataFrame, settings: Settings | N
 def last_resort(more: DataFrame, seen: DataFrame, valid: DataFrame, settings: Settings | None = None) -> DataFrame:
     """The images of a last search for requests without a valid one (req_id), each address once and none that was seen (req_id, key)."""
     settings = settings or Settings()
-    rows = _usable(more, settings.excluded_tokens).join(valid.select("req_id").distinct(), "req_id", "left_anti").join(seen.select("req_id", "key").distinct(), ["req_id", "key"], "left_anti")
+    rows = _usable(more, settings.excluded_tokens).join(valid.select("req_id").distinct().hint("merge"), "req_id", "left_anti").join(seen.select("req_id", "key").distinct().hint("merge"), ["req_id", "key"], "left_anti")
     first = F.min(F.struct("rank", "original", "thumbnail", "title", "domain")).alias("x")
     return rows.groupBy("req_id", "key").agg(first).select("req_id", "key", "x.*")
 

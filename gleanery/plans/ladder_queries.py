@@ -105,7 +105,7 @@ def early_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = k % 10 == 5
     landed = results.where(~gone).unionByName(requests.where(gone & (k % 3 == 0)).select("req_id", F.lit("code").alias("step"), F.lit(0).alias("rank"), *(F.lit(None).cast("string").alias(c) for c in ("link", "title", "snippet")), F.lit(503).alias("error")))
     out = ladders.resolve(requests, landed, ladders.evidence(requests, landed, pages), _SETTINGS)
-    out = out.join(requests.select("req_id", F.col("verified").alias("known")), "req_id")
+    out = out.join(requests.select("req_id", F.col("verified").alias("known")).hint("merge"), "req_id")
     early = export.ends_early(F.col("name"), F.col("verified"), F.col("known"), F.when(gone, 0).otherwise(1), ladders.PLACEHOLDER)
     return out.where(early).select("req_id", export.failed_status(F.col("search_failed"), F.size("links")).alias("failure"))
 

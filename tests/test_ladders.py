@@ -42,6 +42,15 @@ def test_pages_until_there_are_enough(spark):
     assert few == ("Oatly oat drink 330 ml", False, ["http://m0", "http://c", "http://n"])
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_requests_are_not_sent_to_the_driver(spark):
+    q, r = spark.createDataFrame([OATS], REQUESTS), spark.createDataFrame([result("market", 0, "http://m")], RESULTS)
+    assert "Broadcast" not in plan(ladders.discover(q, r, SETTINGS))
+
+
 def test_repeated_places_and_links_count_once(spark):
     rows = [result("market", 0, "http://b"), result("market", 0, "http://a"), result("market", 0, "http://a"), result("market", 1, "http://a"), result("aggregator", 0, None), result("odd", 0, "http://z"), result(None, 0, "http://z"), result("market", None, "http://z")]
     assert found(spark, [OATS], rows)[1] == ("Oatly oat drink 330 ml", False, ["http://a"])

@@ -49,6 +49,8 @@ def plan(df):
 def test_small_requests_are_not_sent_to_the_driver(spark):
     q, r = spark.createDataFrame([OATS], REQUESTS), spark.createDataFrame([result("market", 0, "http://m")], RESULTS)
     assert "Broadcast" not in plan(ladders.discover(q, r, SETTINGS))
+    pages = spark.createDataFrame([("http://m", "<p>EAN: 0123</p>")], "url string, html string")
+    assert "Broadcast" not in plan(ladders.resolve(q, r, ladders.evidence(q, r, pages), SETTINGS))
 
 
 def test_repeated_places_and_links_count_once(spark):

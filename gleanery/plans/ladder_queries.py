@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.config import Settings
 from gleanery.operators import export, ladders, models
 from gleanery.plans.base import query
-from gleanery.sources.tables import table
+from gleanery.sources.tables import dealt, table
 
 _SETTINGS = Settings(trusted_hosts=("trusted.example",))
 #: A part k is asked by name unless k % 5 = 0. h spreads what a result (k, step, rank) is; searches 3 and 6 fail for some parts.
@@ -28,8 +28,8 @@ f as (select *, step * 10 + rank as o, h % 4 = 0 and asked as brand, h % 4 < 3 a
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
-    # The table may be one small file, of which each row becomes a hundred.
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).where("k > 0").repartition(spark.sparkContext.defaultParallelism, "k")
+    # Each row becomes a hundred, which are sorted in its task.
+    part = dealt(table(spark, sf_dir, "part"), "p_partkey", 2_000).select(F.col("p_partkey").alias("k")).where("k > 0")
     known = k % 4 == 0
     asked = F.when(k % 5 > 0, F.concat(F.lit("Brand"), (k % 7).cast("string"), F.lit(" oat drink (4 Pack), 4x330 ml"))).otherwise("")
     return part.select(k.alias("req_id"), F.concat(F.lit("7"), F.lpad(k.cast("string"), 12, "0")).alias("ean"), asked.alias("ground_truth"), F.when(known, F.concat(F.lit("Registry name "), k.cast("string"))).alias("name"), known.alias("verified"))

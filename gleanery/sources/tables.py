@@ -22,6 +22,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str, each: int) -> DataFrame:
+    """Rows of which each becomes much work, by their key in tasks of about `each` rows, one for each core at least.
+
+    A small file is read by one task, and a fixed number of tasks grow with the table. Counting a parquet table reads its footers.
+    """
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each)), key)
+
+
 def requests(lines: DataFrame, line: str = "raw") -> DataFrame:
     """Request lines with their code, text and refresh flag; lines without a valid code have a null `ean`."""
     parts = barcode.parse_line(F.col(line))

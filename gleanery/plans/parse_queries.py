@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from gleanery.operators import page_fields
 from gleanery.plans.base import query
-from gleanery.sources.tables import table
+from gleanery.sources.tables import dealt, table
 
 
 def _parsed(spark: SparkSession, sf_dir: str, page: str, *columns: str) -> DataFrame:
     """The part table's pages, made by a SQL expression, as records with some of their fields."""
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(page).alias("html"))
+    rows = dealt(table(spark, sf_dir, "part"), "p_partkey", 2_000).select("p_partkey", F.expr(page).alias("html"))
     f = F.col("fields")
     pick = {"gtins": F.array_join(f["gtins"], ",")}
     return page_fields.with_fields(rows).select("p_partkey", *(pick.get(c, f[c]).alias(c) for c in columns))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import html, urls
 from gleanery.operators import candidates, lookups, page_fields, verify
 from gleanery.plans.base import query
-from gleanery.sources.tables import table
+from gleanery.sources.tables import dealt, table
 
 _TRUSTED = ("example.com", "thther.example.org")
 _AGGREGATORS = ("example.net",)
@@ -102,7 +102,7 @@ def jsonld_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     nutrition = F.struct(F.lit("NutritionInformation").alias("@type"), F.concat(F.col("p_size").cast("string"), F.lit(" g")).alias("fatContent"), F.concat(F.when(F.col("p_size") <= 40, F.col("p_size")).cast("string"), F.lit(" g")).alias("sodiumContent"))
     product = F.struct(F.lit("Product").alias("@type"), F.col("p_name").alias("name"), F.struct(F.col("p_brand").alias("name")).alias("brand"), code.alias("gtin13"), nutrition.alias("nutrition"))
     page = F.concat(F.lit('<html><head><script type="application/ld+json">'), F.to_json(product), F.lit("</script></head><body><h1>x</h1></body></html>"))
-    rows = page_fields.with_fields(table(spark, sf_dir, "part").select("p_partkey", code.alias("ean"), page.alias("html")))
+    rows = page_fields.with_fields(dealt(table(spark, sf_dir, "part"), "p_partkey", 2_000).select("p_partkey", code.alias("ean"), page.alias("html")))
     f = F.col("fields")
     route = verify.route(F.col("html"), F.col("ean"), F.array(F.lit("x")), f["gtins"], F.lit(False))
     return rows.select("p_partkey", f["brand"].alias("brand"), f["fat_g"].alias("fat_g"), f["salt_g"].cast("decimal(20,3)").alias("salt"), F.get(f["gtins"], 0).alias("gtin"), route.alias("route"))

@@ -23,7 +23,7 @@ def test_tasks_grow_with_requests(spark, one_file):
     assert held[:2] == (7, 12_000) and held[2] < 2_500
 
 
-@pytest.mark.parametrize("name", ["visible_facts", "embedded_state", "jsonld_fields", "page_tags"])
+@pytest.mark.parametrize("name", ["visible_facts", "embedded_state", "jsonld_fields", "page_tags", "linked_product"])
 def test_pages_of_one_file_are_parsed_in_several_tasks(spark, one_file, name):
     held = QUERIES[name](spark, one_file).groupBy(F.spark_partition_id()).count().agg(F.count("*"), F.sum("count"), F.max("count")).first()
     assert held[:2] == (7, 12_001) and held[2] < 2_500

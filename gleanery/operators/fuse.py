@@ -37,9 +37,9 @@ def corroborated(winners: DataFrame, values: DataFrame, agree: Column, keys: lis
 
     Winners meet the values of their own key alone, one winner a key, so the work is linear in the values.
     """
-    met = winners.alias("w").join(values.alias("v"), [F.col(f"w.{k}") == F.col(f"v.{k}") for k in keys])
+    met = winners.alias("w").join(values.alias("v").hint("merge"), [F.col(f"w.{k}") == F.col(f"v.{k}") for k in keys])
     counts = met.where(agree).groupBy(*(F.col(f"w.{k}").alias(k) for k in keys)).agg(F.count_distinct(F.col(f"v.{host}")).alias("n_hosts"))
-    return winners.join(counts, keys, "left").withColumn("n_hosts", F.coalesce("n_hosts", F.lit(0))).withColumn("corroborated", F.col("n_hosts") >= least)
+    return winners.join(counts.hint("merge"), keys, "left").withColumn("n_hosts", F.coalesce("n_hosts", F.lit(0))).withColumn("corroborated", F.col("n_hosts") >= least)
 
 
 def agreement(field: Column, a: Column, b: Column, number_a: Column, number_b: Column, least: float = 0.8) -> Column:

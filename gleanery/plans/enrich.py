@@ -26,15 +26,17 @@ def read_pages(requests: DataFrame, found: DataFrame, pages: DataFrame, settings
     """Verified pages of each request, parsed: found is (req_id, pos, url), pages (url, html).
 
     Pages are narrowed to one for a host before any is parsed; the parsed ones are written once, for they are used thrice.
+    Parsing costs far more than a page's bytes tell Spark, so pages are dealt out for it. Tables with a row for each
+    request are met by merge joins here and below, as in operators.ladders.
     """
     u = F.col("url")
     rows = found.where(urls.http(u) & ~urls.excluded(u, settings.excluded_tokens)).withColumn("host", F.lower(urls.host(u))).withColumn("path", urls.path(u))
     best = candidates.best_per_host(rows, settings.max_candidates).select("req_id", "place", "url", "host")
     names = requests.select("req_id", "ean", F.filter(F.array("name", "ground_truth"), lambda a: F.coalesce(a, F.lit("")) != "").alias("anchors"), text.brand(F.coalesce("ground_truth", "name")).alias("brand_"))
-    rows = best.join(pages.select("url", "html"), "url").join(names, "req_id")
+    rows = best.join(pages.select("url", "html").hint("merge"), "url").join(names.hint("merge"), "req_id")
     listed = urls.under(F.col("host"), settings.trusted_hosts)
     rows = rows.withColumn("trusted", verify.trusted(F.col("host"), listed, F.col("brand_"))).withColumn("aggregator", urls.under(F.col("host"), settings.aggregator_hosts))
-    rows = page_fields.with_fields(rows)
+    rows = page_fields.with_fields(rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "req_id", "url"))
     route = verify.route(F.col("html"), F.col("ean"), F.col("anchors"), F.col("fields.gtins"), F.col("trusted"), settings.min_name_ratio, settings.require_trust)
     rows = rows.withColumn("route", route).where("route is not null").withColumn("readable", page_fields.has_content(F.col("fields"))).withColumn("text", html.visible(F.col("html")))
     return written(rows.select("req_id", "place", "url", "host", "trusted", "aggregator", "route", "readable", "text", *(F.col(f"fields.{f}").alias(f) for f in config.FIELDS)), "pages")
@@ -55,13 +57,13 @@ def enrich(requests: DataFrame, found: DataFrame, pages: DataFrame, settings: Se
     gave = record.select("req_id", F.array_distinct(F.array(*(f"{f}_rank" for f in config.FIELDS))).alias("winners"))
     record = record.drop(*(f"{f}_rank" for f in config.FIELDS))
 
-    sources = used.join(gave, "req_id").where(F.col("readable") | F.array_contains("winners", F.col("rank")))
+    sources = used.join(gave.hint("merge"), "req_id").where(F.col("readable") | F.array_contains("winners", F.col("rank")))
     # A request has at most max_candidates pages, one of each host.
     told = F.transform(F.array_sort(F.collect_list(F.struct("rank", "url"))), lambda x: x["url"])
     told = sources.groupBy("req_id").agg(F.slice(told, 1, settings.max_links).alias("source_links"))
     best = F.min(F.when(F.col("readable"), F.struct("rank", "text"))).alias("best")
     seen = used.groupBy("req_id").agg(F.bool_or("readable").alias("readable"), F.bool_or(F.col("trusted") & F.col("readable")).alias("trusted"), best)
-    record = record.join(seen, "req_id").withColumn("text", F.col("best.text")).drop("best")
+    record = record.join(seen.hint("merge"), "req_id").withColumn("text", F.col("best.text")).drop("best")
     record = models.translate(models.fill_missing(record, "text", plugged.fill, error="model_error"), plugged.translate, error="model_error")
     if "model_error" not in record.columns:
         record = record.withColumn("model_error", F.lit(None).cast("string"))
@@ -74,8 +76,8 @@ def enrich(requests: DataFrame, found: DataFrame, pages: DataFrame, settings: Se
     agree = fuse.agreement(F.col("w.field"), F.col("w.value"), F.col("v.value"), numbers.to_double(F.col("w.value")), numbers.to_double(F.col("v.value")), settings.min_agreement)
     hosts = fuse.corroborated(winners, values, agree, ["req_id", "field"], least=settings.min_hosts).groupBy("req_id").agg(F.max("n_hosts").alias("n_hosts"))
 
-    record = record.join(hosts, "req_id", "left").withColumn("n_hosts", F.coalesce("n_hosts", F.lit(0))).withColumn("verified", F.lit(True))
-    out = requests.select("req_id", "ean").join(record, "req_id", "left").join(told, "req_id", "left")
+    record = record.join(hosts.hint("merge"), "req_id", "left").withColumn("n_hosts", F.coalesce("n_hosts", F.lit(0))).withColumn("verified", F.lit(True))
+    out = requests.select("req_id", "ean").join(record.hint("merge"), "req_id", "left").join(told.hint("merge"), "req_id", "left")
     bad = F.col("implausible").isNotNull()
     verified, readable, trusted = (F.coalesce(c, F.lit(False)) for c in ("verified", "readable", "trusted"))
     return out.select(
@@ -95,5 +97,5 @@ def search_and_enrich(requests: DataFrame, results: DataFrame, pages: DataFrame,
     """enrich() from landed search results: requests (req_id, ean, ground_truth, name, verified), of which the last two are a registry's."""
     # Written once, for names and links are read apart.
     known = written(ladders.discover(requests, results, settings), "discovered")
-    named = requests.select("req_id", "ean", "ground_truth").join(known.select("req_id", "name"), "req_id")
+    named = requests.select("req_id", "ean", "ground_truth").join(known.select("req_id", "name").hint("merge"), "req_id")
     return enrich(named, ladders.found(known), pages, settings, plugged)

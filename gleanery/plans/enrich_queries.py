@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.config import Settings
 from gleanery.plans.base import query
 from gleanery.plans.enrich import enrich
-from gleanery.sources.tables import table
+from gleanery.sources.tables import dealt, table
 
 #: Which of its three pages a part has, and what each page tells.
 _THERE = "case k when 0 then p_partkey % 3 = 0 when 1 then p_partkey % 5 > 0 else p_partkey % 2 = 0 end"
@@ -38,12 +38,12 @@ from part left join i on i.req_id = p_partkey left join h on h.req_id = p_partke
 """)
 def enrich_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts enriched from pages that agree, contradict one another, are thin, or can't be right."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", F.lpad(F.col("p_partkey").cast("string"), 13, "0").alias("ean"))
+    part = dealt(table(spark, sf_dir, "part"), "p_partkey", 10_000).select("p_partkey", "p_name", "p_size", F.lpad(F.col("p_partkey").cast("string"), 13, "0").alias("ean"))
     requests = part.select(F.col("p_partkey").alias("req_id"), "ean", F.col("p_name").alias("name"), F.lit("").alias("ground_truth"))
-    dealt = part.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2)))).where(F.expr(_THERE))
+    there = part.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2)))).where(F.expr(_THERE))
     url = F.concat(F.lit("https://"), F.element_at(F.array(*map(F.lit, _HOSTS)), F.col("k") + 1), F.lit("/p/"), F.col("p_partkey").cast("string"))
     rows = [F.concat(F.lit(f"<tr><td>{name.title()}</td><td>"), F.expr(f"cast({e} as double)").cast("string"), F.lit(" g</td></tr>")) for name, e in _FACTS.items()]
     html = F.concat(F.lit('<script type="application/ld+json">{"gtin13":"'), "ean", F.lit('"}</script><table>'), F.concat_ws("", *rows), F.lit("</table>"))
-    made = dealt.select(F.col("p_partkey").alias("req_id"), F.col("k").alias("pos"), url.alias("url"), html.alias("html"))
+    made = there.select(F.col("p_partkey").alias("req_id"), F.col("k").alias("pos"), url.alias("url"), html.alias("html"))
     out = enrich(requests, made.select("req_id", "pos", "url"), made.select("url", "html"), Settings(trusted_hosts=(_HOSTS[0],)))
     return out.select("req_id", "fat_g", "protein_g", "salt_g", "status", "reliability", "provenance", "implausible", F.array_join("source_links", " ").alias("links"))
